@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup
+from . import decontaminate, linededup
 
 QUERIES: dict = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op7_line_dedup": linededup.op7_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
     "op7_line_dedup": linededup.ORACLE,
 }
