@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup
+from . import decontaminate, linededup, sharding
 
 QUERIES: dict = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_shard": sharding.op3_shard,
     "op7_line_dedup": linededup.op7_line_dedup,
 }
 
