@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, sharding
+from . import decontaminate, linededup, pii, sharding
 
 QUERIES: dict = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_shard": sharding.op3_shard,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES: dict[str, str] = {
