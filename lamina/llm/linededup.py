@@ -191,6 +191,8 @@ def dedup_lines(docs: DataFrame, *, carry: tuple[str, ...] = (), bits: int | Non
     bitmap = spark.sparkContext.broadcast(suspect_filter(named, bits))
     seen = materialize(named.mapInArrow(lambda it: suspects(it, bitmap.value), "doc_id long, digest binary"), "suspects")
     keepers = seen.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper <> last").select("digest", "keeper")
+    # Read back, the join's two sides are plain shuffles, so a line that many documents hold can be split.
+    keepers = materialize(keepers, "keepers")
     drops = seen.join(keepers, "digest").filter("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     clean = docs.mapInArrow(rows_with(bitmap, False), fields)
