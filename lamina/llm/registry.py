@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, pii, sharding
+from . import decontaminate, linededup, packing, pii, sharding
 
 QUERIES: dict = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_shard": sharding.op3_shard,
+    "op6_pack": packing.op6_pack,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op10_pii": pii.op10_pii,
 }
