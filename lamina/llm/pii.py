@@ -207,5 +207,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"))
     text = lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.stop.cast("string"))
     base = F.filter("spans", lambda s: s.kind.isin(*BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE_KINDS]
     return out.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", text), ",").alias("spans"))
