@@ -1,0 +1,33 @@
+"""Connected components of a table of links, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from .storage import materialize
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Links (a, b) of longs to (node, component): the smallest node that each linked node reaches.
+
+    Each round rewires every node's links to the smallest node near it, with two aggregations and joins; rounds grow
+    with the logarithm of a component's diameter, and no task holds a component. Rounds are written to the shared
+    folder. An empty table gives an empty result; repeated links and self-links do no harm.
+    """
+    edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
+    before = None
+    while True:
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            break
+        before = state
+        # Large star: a node's larger neighbours go to the smallest of the node and all its neighbours.
+        both = edges.select(F.col("v").alias("n"), F.col("u").alias("o")).unionByName(edges.select(F.col("u").alias("n"), F.col("v").alias("o")))
+        low = both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m"))
+        large = both.filter("o > n").join(low, "n").select(F.col("o").alias("v"), F.col("m").alias("u")).distinct()
+        # Small star: a node and its smaller neighbours go to the smallest of those.
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u")))
+        edges = materialize(small.filter("v <> u").distinct(), "links")
+    nodes = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
+    return nodes.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

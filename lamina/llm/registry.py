@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, packing, pii, sharding
+from . import decontaminate, linededup, neardup, packing, pii, sharding
 
 QUERIES: dict = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_shard": sharding.op3_shard,
     "op6_pack": packing.op6_pack,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op8_near_dedup": neardup.op8_near_dedup,
     "op10_pii": pii.op10_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op7_line_dedup": linededup.ORACLE,
+    "op8_near_dedup": neardup.ORACLE,
 }
