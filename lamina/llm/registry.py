@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, neardup, packing, pii, sharding
+from . import ann, decontaminate, linededup, neardup, packing, pii, sharding
 
 QUERIES: dict = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -10,6 +10,7 @@ QUERIES: dict = {
     "op6_pack": packing.op6_pack,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op8_near_dedup": neardup.op8_near_dedup,
+    "op9_ann": ann.op9_ann,
     "op10_pii": pii.op10_pii,
 }
 
