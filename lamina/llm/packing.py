@@ -28,7 +28,7 @@ OPEN_WINDOWS = 32
 #: Padding tokens at most with which a window is emitted rather than filled by cutting a document.
 MAX_PADDING = 8
 #: Partitions whose leftovers are merged together: at most MERGE_PARTITIONS * OPEN_WINDOWS * WINDOW ids in a task.
-MERGE_PARTITIONS = 64
+MERGE_PARTITIONS = 16
 END_ID = 1
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
