@@ -27,8 +27,8 @@ BANDS = 32
 #: Coordinates in a band: two sets of similarity 0.85 share no band of 32 with a probability of 7e-9.
 BAND_ROWS = 5
 SIZE = BANDS * BAND_ROWS
-#: Members of one block of a bucket.
-BLOCK = 256
+#: Members of one block of a bucket; a task holds the sketches of two blocks at most, some 10 MB.
+BLOCK = 4096
 _FREE = np.uint64(2**64 - 1)
 
 
