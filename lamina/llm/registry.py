@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, linededup, neardup, packing, pii, sharding
+from . import ann, decontaminate, linededup, neardup, packing, pii, sharding, toxicity
 
 QUERIES: dict = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_shard": sharding.op3_shard,
     "op6_pack": packing.op6_pack,
