@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html, linededup, neardup, packing, pii, sharding, toxicity
+from . import ann, decontaminate, html, licenses, linededup, neardup, packing, pii, sharding, toxicity
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_shard": sharding.op3_shard,
     "op4_extract": html.op4_extract,
+    "op5_licenses": licenses.op5_licenses,
     "op6_pack": packing.op6_pack,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op8_near_dedup": neardup.op8_near_dedup,
