@@ -3,7 +3,7 @@
 A vector x becomes (x, sqrt(M^2 - |x|^2)) with M the largest norm, a query (q, 0): the largest inner product is then
 the smallest Euclidean distance, so the triangle inequality holds. Rows are dealt to cells around pivots fitted on a
 bounded sample; a cell is cut into shards of bounded size, each with a vantage-point tree. A query first searches its
-own cell, then those cells whose bound (d(q, p) - d(q, own p)) / 2 is below its k-th distance divided by `factor`.
+own cell, with the k-th distance in the sample as its first bound, then those cells whose bound (d(q, p) - d(q, own p)) / 2 is below its k-th distance divided by `factor`.
 Inside a tree a child is skipped by the same rule on its bound. Factor one makes every skip safe: the search is exact.
 
 Equal vectors are one node with its k + 1 smallest ids (no others can rank), and equal queries are searched once.
@@ -108,8 +108,9 @@ def search_shard(vectors: pd.DataFrame, queries: pd.DataFrame, top: float, k: in
     if vectors.empty or queries.empty:
         return pd.DataFrame({"k1": np.zeros(0, np.int64), "k2": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
     x, q = matrix(vectors["vector"]), matrix(queries["vector"])
-    rows, _ = Tree(lifted(x, top)).search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), min(k, len(x)), queries["tau"].to_numpy(float), factor)
-    at, col = np.nonzero(rows >= 0)
+    tau = queries["tau"].to_numpy(float)
+    rows, best = Tree(lifted(x, top)).search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), min(k, len(x)), tau, factor)
+    at, col = np.nonzero((rows >= 0) & (best <= (tau * tau)[:, None] * (1 + 1e-9) + 1e-9))
     node = rows[at, col]
     score = (q[at] * x[node]).sum(axis=1)
     ids = vectors["ids"].to_numpy()
@@ -141,7 +142,9 @@ def nearest(vectors: DataFrame, is_query: str, *, k: int = 20, factor: float = F
     count, top = nodes.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)))).first()
     sample = nodes.select("k1", "k2", "vector").orderBy(F.xxhash64("k1", "k2")).limit(SAMPLE_ROWS).toPandas()
     top *= 1 + 1e-12
-    pivots = fit_pivots(lifted(matrix(sample["vector"]), top), min(MAX_CELLS, max(1, count // (SHARD_ROWS // 2))))
+    sample = lifted(matrix(sample["vector"]), top)
+    known = spark.sparkContext.broadcast(sample)  # at most SAMPLE_ROWS vectors
+    pivots = fit_pivots(sample, min(MAX_CELLS, max(1, count // (SHARD_ROWS // 2))))
     pivots = spark.sparkContext.broadcast(pivots)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +160,15 @@ def nearest(vectors: DataFrame, is_query: str, *, k: int = 20, factor: float = F
 
     def own_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                q = matrix(batch.column("vector"))
-                near = distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), pivots.value).argmin(axis=1)
-                yield batch.append_column("cell", pa.array(near, pa.int32())).append_column("tau", pa.array(np.full(len(q), np.inf)))
+            if not len(batch):
+                continue
+            q = matrix(batch.column("vector"))
+            q = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
+            tau = np.full(len(q), np.inf)
+            if len(known.value) > k:  # the (k + 1)-th distance in the sample bounds that in all rows
+                for i in range(0, len(q), 256):
+                    tau[i : i + 256] = np.partition(distances(q[i : i + 256], known.value), k, axis=1)[:, k]
+            yield batch.append_column("cell", pa.array(distances(q, pivots.value).argmin(axis=1), pa.int32())).append_column("tau", pa.array(tau))
 
     def other_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,12 +176,12 @@ def nearest(vectors: DataFrame, is_query: str, *, k: int = 20, factor: float = F
                 continue
             q = matrix(batch.column("vector"))
             worst = batch.column("worst").to_numpy(zero_copy_only=False)
-            tau = np.sqrt(np.maximum((q * q).sum(axis=1) + top * top - 2 * worst, 0))
-            tau[np.asarray(batch.column("found")) < k + 1] = np.inf
+            own = np.sqrt(np.maximum((q * q).sum(axis=1) + top * top - 2 * worst, 0))
+            own[np.asarray(batch.column("found")) < k + 1] = np.inf
+            tau = np.minimum(own, batch.column("tau").to_numpy())
             d = distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), pivots.value)
-            near = d.argmin(axis=1)
             go = (d - d.min(axis=1)[:, None]) / 2 * factor <= tau[:, None] + 1e-9
-            go[np.arange(len(q)), near] = False
+            go[np.arange(len(q)), batch.column("cell").to_numpy()] = False
             at, cell = np.nonzero(go)
             rows = batch.select(["k1", "k2", "vector"]).take(pa.array(at))
             yield rows.append_column("cell", pa.array(cell, pa.int32())).append_column("tau", pa.array(tau[at]))
@@ -192,7 +200,8 @@ def nearest(vectors: DataFrame, is_query: str, *, k: int = 20, factor: float = F
         return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
 
     fields = "k1 long, k2 long, vector array<double>, cell int, tau double"
-    first = materialize(best(search(queries.mapInArrow(own_cell, fields))).drop("nth"), "ann-own")
+    queries = materialize(queries.mapInArrow(own_cell, fields), "ann-queries")
+    first = materialize(best(search(queries)).drop("nth"), "ann-own")
     reach = first.groupBy("k1", "k2").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("found"))
     asked = queries.join(reach, ["k1", "k2"], "left").withColumns({"worst": F.coalesce("worst", F.lit(0.0)), "found": F.coalesce("found", F.lit(0))})
     asked = materialize(asked.mapInArrow(other_cells, fields), "ann-asked")
