@@ -7,7 +7,8 @@ Jaccard similarity. Bands of coordinates form buckets; documents of equal shingl
 
 No bucket's pairs are all compared. First every member meets one member of its bucket, chosen by hash, and the
 pairs are verified on full sets. Only in buckets that still hold several components do members of different
-components meet, in blocks of bounded size and by their sketches; what may be a link is verified on full sets.
+components meet, in blocks of bounded size: their sketches sort out most, full sets decide, and only links that
+join components leave the task.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ BANDS = 32
 #: Coordinates in a band: two sets of similarity 0.85 share no band of 32 with a probability of 7e-9.
 BAND_ROWS = 5
 SIZE = BANDS * BAND_ROWS
-#: Members of one block of a bucket; a task holds the sketches of two blocks at most, some 10 MB.
-BLOCK = 4096
+#: Members, and their shingles, of one block of a bucket: a task holds two blocks at most, some 20 MB.
+BLOCK = 1024
+BLOCK_SHINGLES = 1_000_000
 _FREE = np.uint64(2**64 - 1)
 
 
@@ -113,29 +115,46 @@ def may_link(percent: int, size: int = SIZE) -> int:
 
 
 def compare_block(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one block pair of a bucket that lie in different components and may be links by their sketches. A
-    pair that meets in several buckets is given by the first of them only."""
+    """Links between different components in one block pair of a bucket: as many as join them, not all.
+
+    Sketches sort out most pairs, full sets decide. A pair that meets in several buckets is looked at in the first.
+    """
     i, j = int(group["bi"].iloc[0]), int(group["bj"].iloc[0])
     bucket = int(group["bucket"].iloc[0])
     left, right = (group if i == j else group[group["block"] == k] for k in (i, j))
-    if left.empty or right.empty:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    sk, bands = np.stack([np.frombuffer(x, np.uint8) for x in right["sketch"]]), np.stack(right["bands"].to_numpy())
-    ids, comp, n = right["id"].to_numpy(), right["component"].to_numpy(), right["n"].to_numpy()
-    least, out_a, out_b = may_link(percent), [], []
-    for r in left.itertuples():
-        near = (comp != r.component) & (100 * np.minimum(n, r.n) >= percent * np.maximum(n, r.n))
-        if i == j:
-            near &= ids > r.id
-        at = np.flatnonzero(near)
-        at = at[(sk[at] == np.frombuffer(r.sketch, np.uint8)).sum(axis=1) >= least]
-        if len(at):
-            same = bands[at] == np.asarray(r.bands)
-            at = at[bands[at, same.argmax(axis=1)] == bucket]
-            out_a.append(np.full(len(at), r.id))
-            out_b.append(ids[at])
-    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        sk, bands = np.stack([np.frombuffer(x, np.uint8) for x in right["sketch"]]), np.stack(right["bands"].to_numpy())
+        ids, n = right["id"].to_numpy(), right["n"].to_numpy()
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in right["set"]]
+        joined: dict[int, int] = {}  # component -> component that it has joined here
+        label = right["component"].to_numpy().copy()
+        least = may_link(percent)
+        for r in left.itertuples():
+            own = r.component
+            while own in joined:
+                own = joined[own]
+            near = (label != own) & (100 * np.minimum(n, r.n) >= percent * np.maximum(n, r.n))
+            if i == j:
+                near &= ids > r.id
+            at = np.flatnonzero(near)
+            at = at[(sk[at] == np.frombuffer(r.sketch, np.uint8)).sum(axis=1) >= least]
+            if len(at):
+                same = bands[at] == np.asarray(r.bands)
+                at = at[bands[at, same.argmax(axis=1)] == bucket]
+            if not len(at):
+                continue
+            mine = np.asarray(r.set, np.int64).view(np.uint64)
+            flat = np.concatenate([sets[k] for k in at])
+            held = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            common = np.add.reduceat(held.astype(np.int64), np.append(0, np.cumsum(n[at]))[:-1])
+            for k in at[100 * common >= percent * (r.n + n[at] - common)]:
+                if label[k] != own:
+                    out.append((r.id, ids[k]))
+                    joined[int(label[k])] = own
+                    label[label == label[k]] = own
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": pairs.min(axis=1, initial=2**63 - 1), "b": pairs.max(axis=1, initial=-(2**63))})
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,8 +182,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     nodes = materialize(nodes.select("id", "k1", "k2", "n", "s.bands", "s.sketch"), "nodes")
     member = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     lead = F.min_by(F.struct("id", "n"), F.xxhash64("id", "bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), lead.alias("lead")).filter("members > 1")
-    member = materialize(member.join(shared, "bucket").select("bucket", "members", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "members")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), lead.alias("lead")).filter("members > 1")
+    member = materialize(member.join(shared, "bucket").select("bucket", "members", "weight", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "members")
     wanted = member.select(F.col("id").alias("doc_id")).distinct()
     sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: set_rows(it, words), "id long, set array<long>"), "sets")
 
@@ -173,15 +192,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     found = materialize(components(verify(pairs, sets, percent)), "components")
 
     member = member.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    member = materialize(member.select("bucket", "members", "id", "n", "component"), "labelled")
+    member = materialize(member.select("bucket", "members", "weight", "id", "n", "component"), "labelled")
     split = member.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high AND low IS NOT NULL").select("bucket")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK))
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("weight") / F.lit(BLOCK_SHINGLES)))
     rest = member.join(split, "bucket").filter("members > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    rest = rest.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "blocks", "members")
-    rest = rest.join(nodes.select("id", "n", "bands", "sketch"), ["id", "n"])
-    more = rest.groupBy("bucket", "bi", "bj").applyInPandas(lambda g: compare_block(g, percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verify(materialize(more, "more-pairs"), sets, percent)
+    rest = rest.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "blocks", "members", "weight")
+    rest = rest.join(nodes.select("id", "n", "bands", "sketch"), ["id", "n"]).join(sets.withColumn("n", F.size("set").cast("long")), ["id", "n"])
+    more = rest.groupBy("bucket", "bi", "bj").applyInPandas(lambda g: compare_block(g, percent), "a long, b long")
 
     # The second links join components of the first.
     label = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
