@@ -11,7 +11,7 @@ from lamina.llm.decontaminate import decontaminate
 from lamina.llm.linededup import dedup_lines
 from lamina.llm.neardup import near_duplicates
 from lamina.llm.packing import pack
-from lamina.llm.storage import materialize, table
+from lamina.storage import materialize, table
 from lamina.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .storage import materialize, table
+from ..storage import materialize, table
 
 #: Rows that the pivots are fitted on at most.
 SAMPLE_ROWS = 20_000

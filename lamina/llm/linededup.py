@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import input_bytes, materialize, table
 from . import textvec as V
-from .storage import input_bytes, materialize, table
 
 SEGMENT_BITS = 1 << 18
 PROBES = 3

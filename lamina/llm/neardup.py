@@ -20,9 +20,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.components import components
+from ..storage import materialize, table
 from . import textvec as V
-from .components import components
-from .storage import materialize, table
 
 BANDS = 32
 #: Coordinates in a band: two sets of similarity 0.85 share no band of 32 with a probability of 7e-9.

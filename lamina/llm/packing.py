@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialize, table
 from . import textvec as V
-from .storage import materialize, table
 from .tokens import tokenizer
 
 WINDOW = 2048

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .storage import materialize, table
+from ..storage import materialize, table
 
 N_SHARDS = 24
 ROW_BYTES = 8

@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import table
 from . import textvec as V
 from .linear import minimum
-from .storage import table
 
 #: Labelled rows that the models are fitted on at most: those of the smallest hashes of doc_id.
-FIT_ROWS = 10_000
+FIT_ROWS = 6_000
 HASH_BITS = 22
 FOLDS = 3
 #: A feature is selected from this chi-square value on; among 4 million noise features about 2 reach it.
