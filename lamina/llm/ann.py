@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..storage import materialize, table
+from .sampling import sample_keys
 
 #: Rows that the pivots are fitted on at most.
 SAMPLE_ROWS = 20_000
@@ -140,7 +141,8 @@ def nearest(vectors: DataFrame, is_query: str, *, k: int = 20, factor: float = F
     nodes = x.withColumn("nth", rank).filter(F.col("nth") <= k + 1).groupBy("k1", "k2").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_set("id")).alias("ids"))
     nodes = materialize(nodes, "ann-nodes")
     count, top = nodes.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)))).first()
-    sample = nodes.select("k1", "k2", "vector", "ids").orderBy(F.xxhash64("k1", "k2")).limit(SAMPLE_ROWS).toPandas()
+    chosen = F.broadcast(sample_keys(nodes.select("k1", "k2"), SAMPLE_ROWS))  # at most SAMPLE_ROWS pairs of hashes
+    sample = nodes.select("k1", "k2", "vector", "ids").join(chosen, ["k1", "k2"]).toPandas().sort_values(["k1", "k2"])
     top *= 1 + 1e-12
     sample_ids = spark.sparkContext.broadcast([list(x) for x in sample["ids"]])
     sample = lifted(matrix(sample["vector"]), top)

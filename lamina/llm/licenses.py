@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..storage import table
 from . import textvec as V
 from .linear import minimum
+from .sampling import sample_keys
 
 #: Documents whose lines serve as ordinary text in training at most: those of the smallest hashes of doc_id.
 FIT_DOCUMENTS = 1000
@@ -220,7 +221,8 @@ def scan_licenses(docs: DataFrame, *, carry: tuple[str, ...] = (), fit_documents
     sample of ordinary lines, not the scan.
     """
     docs = docs.select("doc_id", "text", *carry)
-    sample = docs.filter("text IS NOT NULL").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "text").limit(fit_documents)
+    ids = sample_keys(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id"), fit_documents)
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id")  # at most fit_documents ids
     lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).filter("length(line) BETWEEN 1 AND 2000").filter("NOT lower(line) RLIKE 'licen[cs]e|spdx|copyright|redistribut|creative commons|public domain'")
     ordinary = sorted(r.line for r in lines.limit(FIT_LINES).toLocalIterator())
     model = docs.sparkSession.sparkContext.broadcast(train(ordinary))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..storage import table
 from . import textvec as V
 from .linear import minimum
+from .sampling import sample_keys
 
 #: Labelled rows that the models are fitted on at most: those of the smallest hashes of doc_id.
 FIT_ROWS = 6_000
@@ -160,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_ro
     """Fit the chain on at most `fit_rows` labelled documents. `categories` names each category's SQL condition on
     the labels. The executors send hashed features; no text comes to the driver."""
     named = labels.filter("doc_id IS NOT NULL").select("doc_id", *(F.expr(c).cast("int").alias(f"__{k}") for k, c in enumerate(categories.values())))
-    named = named.dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(fit_rows)
+    named = named.dropna().dropDuplicates(["doc_id"])
+    named = named.join(F.broadcast(sample_keys(named.select("doc_id"), fit_rows)), "doc_id")  # at most fit_rows ids
     names = [f"__{k}" for k in range(len(categories))]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
