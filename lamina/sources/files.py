@@ -24,9 +24,11 @@ class EmptyDocumentError(ValueError):
 
 
 def _pdf_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pypdf import PdfReader
-
     for frame in frames:
+        if not len(frame):
+            continue
+        from pypdf import PdfReader  # an optional dependency: needed where there are PDF files only
+
         rows = [(r.source, i, page.extract_text() or "") for r in frame.itertuples() for i, page in enumerate(PdfReader(io.BytesIO(r.content)).pages, 1)]
         yield pd.DataFrame(rows, columns=["source", "page", "text"])
 
