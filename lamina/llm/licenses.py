@@ -224,7 +224,9 @@ def scan_licenses(docs: DataFrame, *, carry: tuple[str, ...] = (), fit_documents
     ids = sample_keys(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id"), fit_documents)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id")  # at most fit_documents ids
     lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).filter("length(line) BETWEEN 1 AND 2000").filter("NOT lower(line) RLIKE 'licen[cs]e|spdx|copyright|redistribut|creative commons|public domain'")
-    ordinary = sorted(r.line for r in lines.limit(FIT_LINES).toLocalIterator())
+    every = [t for own in templates().values() for t in own]
+    held = lambda line: any(len(t & line) >= RESEMBLE * len(t) for t in every)
+    ordinary = sorted(r.line for r in lines.limit(FIT_LINES).toLocalIterator() if not held(pairs_of(r.line)))
     model = docs.sparkSession.sparkContext.broadcast(train(ordinary))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"licenses {KIND}"])
     return docs.mapInArrow(lambda it: scan(it, model.value), fields)

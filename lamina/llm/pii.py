@@ -137,7 +137,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 start = at
                 while start and text[start - 1].isalnum() and at - start < 16:
                     start -= 1
-                spans.append(("url_login", start, m.end()))
+                stop = m.end()
+                while text[stop - 1] in ".,;:!?)]}":
+                    stop -= 1
+                spans.append(("url_login", start, stop))
         elif at == 0 or not text[at - 1].isalnum():
             pattern = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT, "secret": _SECRET}[what]
             m = pattern.match(text, last + 1)

@@ -181,7 +181,7 @@ def shard(docs: DataFrame, *, n_shards: int | None = N_SHARDS, capacity: int | N
     classes = groups.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("__size", ascending=False)
     sizes, counts = classes["__size"].tolist(), classes["n"].tolist()
     runs = best_fit(sizes, counts, capacity) if capacity else plan_equal(sizes, counts, n_shards)
-    runs = spark.createDataFrame(pd.DataFrame(np.array(runs, np.int64).reshape(-1, 4), columns=["__size", "__from", "__many", "shard"]))
+    runs = spark.createDataFrame(pd.DataFrame(np.array(runs, np.int64).reshape(-1, 4), columns=["__size", "__from", "__many", "shard"]), "__size long, __from long, __many long, shard long")
     buckets = max(1, math.ceil(max(counts, default=1) / BUCKET_ROWS))
     numbered = _numbered(groups, ["__size"], "__key", buckets, "__nth")
     placed = numbered.join(runs, "__size").filter("__nth >= __from AND __nth < __from + __many").select("__key", F.col("shard").cast("int").alias("shard"))
