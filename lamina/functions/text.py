@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from . import pyregex as R
@@ -11,6 +13,11 @@ CHARS_PER_TOKEN = 3.5
 CUT = "\u0001\u0002"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: expressions inside lambdas would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^[{R.WS}]+|[{R.WS}]+\z", "")
 
@@ -67,21 +74,25 @@ def normal_form(c: Column) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Parts between blank lines; a text without any is cut into groups of lines, each from a heading on."""
-    parts = F.filter(F.transform(F.split(c, "\n\n", -1), strip), lambda x: x != "")
-    lines = F.filter(F.transform(F.split(c, "\n", -1), strip), lambda x: x != "")
-    marked = F.transform(lines, lambda x, i: F.when((i > 0) & is_heading_line(x), F.concat(F.lit(CUT), x)).otherwise(x))
-    groups = F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(F.split(F.array_join(marked, "\n"), f"\n{CUT}", -1))
-    return F.when(F.size(parts) > 1, parts).otherwise(groups)
+
+    def groups(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x, i: F.when((i > 0) & is_heading_line(x), F.concat(F.lit(CUT), x)).otherwise(x))
+        return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(F.split(F.array_join(marked, "\n"), f"\n{CUT}", -1))
+
+    filled = lambda sign: F.filter(F.transform(F.split(c, sign, -1), strip), lambda x: x != "")
+    return let(filled("\n\n"), lambda parts: F.when(F.size(parts) > 1, parts).otherwise(let(filled("\n"), groups)))
 
 
 def heading_blocks(paras: Column) -> Column:
     """Paragraphs with the headings before them: headings joined by a line break, then a blank line and the text.
     Headings at the end are a block of their own."""
-    joined = F.transform(
-        paras,
-        lambda x, i: F.concat(x, F.when(i == F.size(paras) - 1, "").when(~is_heading(x), CUT).when(is_heading(F.get(paras, i + 1)), "\n").otherwise("\n\n")),
-    )
-    return F.when(F.size(paras) == 0, F.array().cast("array<string>")).otherwise(F.split(F.array_join(joined, ""), CUT, -1))
+
+    def blocks(paras: Column) -> Column:
+        after = lambda x, i: F.when(i == F.size(paras) - 1, "").when(~is_heading(x), CUT).when(is_heading(F.get(paras, i + 1)), "\n").otherwise("\n\n")
+        joined = F.transform(paras, lambda x, i: F.concat(x, after(x, i)))
+        return F.when(F.size(paras) == 0, F.array().cast("array<string>")).otherwise(F.split(F.array_join(joined, ""), CUT, -1))
+
+    return let(paras, blocks)
 
 
 def page_label(start: Column, end: Column) -> Column:

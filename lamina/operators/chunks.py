@@ -38,7 +38,8 @@ def sliced(units: Column, starts: Column, make: Callable[[Column], Column]) -> C
 
 
 def grouped(units: Column, separator: str, max_tokens: int) -> Column:
-    return sliced(units, group_starts(F.transform(units, F.length), len(separator), max_tokens), lambda own: F.array_join(own, separator))
+    joined = lambda u, starts: sliced(u, starts, lambda own: F.array_join(own, separator))
+    return X.let(units, lambda u: X.let(group_starts(F.transform(u, F.length), len(separator), max_tokens), lambda starts: joined(u, starts)))
 
 
 def hard_split(text: Column, max_tokens: int) -> Column:
