@@ -90,13 +90,13 @@ def fit(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, y: np.ndarray,
     empty = Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(dense.shape[1]), mean, scale, float(np.log(rate / (1 - rate))))
     if pos < 2 or n - pos < 2:
         return empty
-    a = np.bincount(hashes, y[rows], 1 << HASH_BITS)
     total = np.bincount(hashes, minlength=1 << HASH_BITS)
+    found = np.flatnonzero((total >= 4) & (total <= n - 4))
+    total, a = total[found], np.bincount(hashes[y[rows] > 0], minlength=1 << HASH_BITS)[found]
     b, c, d = total - a, pos - a, n - pos - (total - a)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((total >= 4) & (total <= n - 4), n * (np.abs(a * d - b * c) - n / 2).clip(0) ** 2 / (total * (n - total) * pos * (n - pos)), 0)
-    chosen = np.flatnonzero(chi >= CHI_SQUARE)
-    chosen = np.sort(chosen[np.argsort(-chi[chosen], kind="stable")[:MAX_FEATURES]])
+    chi = n * (np.abs(a * d - b * c) - n / 2).clip(0) ** 2 / (total * (n - total) * pos * (n - pos))
+    best = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
+    chosen = np.sort(found[best[chi[best] >= CHI_SQUARE]])
     place = np.full(1 << HASH_BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     held = place[hashes] >= 0
@@ -141,7 +141,7 @@ def fit_chain(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, labels: d
         held_out = np.zeros(len(y))
         for f in range(FOLDS):
             train = folds != f
-            index = np.cumsum(train) - 1
+            index = (np.cumsum(train) - 1).astype(np.int32)
             own = train[rows]
             model = fit(index[rows[own]], hashes[own], dense[train], y[train])
             sparse = np.bincount(rows, model.table()[hashes], len(y))
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_ro
     if not found:
         return Chain(list(categories), [], [])
     counts = [len(r.features) // 4 for r in found]
-    rows, hashes = np.repeat(np.arange(len(found)), counts), np.concatenate([np.frombuffer(r.features, np.uint32) for r in found])
+    rows, hashes = np.repeat(np.arange(len(found), dtype=np.int32), counts), np.concatenate([np.frombuffer(r.features, np.uint32) for r in found])
     y = {name: np.array([r[f"__{k}"] for r in found], float) for k, name in enumerate(categories)}
     folds = (V.mix(np.array([r.doc_id for r in found], np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
     return fit_chain(rows, hashes, np.array([r.style for r in found]), y, folds)
