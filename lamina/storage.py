@@ -29,9 +29,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """The paths of this session's intermediate tables that have not been discarded."""
+    if not hasattr(spark, "_lamina_written"):
+        spark._lamina_written = []
+    return spark._lamina_written
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that no plan reads any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in list(paths):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        if path in written(spark):
+            written(spark).remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

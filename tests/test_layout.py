@@ -17,3 +17,15 @@ def test_no_forbidden_calls():
     for path in ROOT.glob("lamina/**/*.py"):
         text = path.read_text()
         assert not re.search(r"localCheckpoint\(|crossJoin\(", text) or path.name == "catalogue.py", path
+
+
+def test_intermediate_tables_can_go(spark):
+    from pathlib import Path as Local
+
+    from lamina.storage import discard, materialize, written
+
+    frame = materialize(spark.range(3), "three")
+    path = written(spark)[-1]
+    assert frame.count() == 3 and Local(path.removeprefix("file:")).exists()
+    discard(spark, [path])
+    assert path not in written(spark) and not Local(path.removeprefix("file:")).exists()
