@@ -11,7 +11,7 @@ from lamina.llm.decontaminate import decontaminate
 from lamina.llm.linededup import dedup_lines
 from lamina.llm.neardup import near_duplicates
 from lamina.llm.packing import pack
-from lamina.storage import materialize, table
+from lamina.storage import discard, materialize, table, written
 from lamina.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -58,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of `sf_dir`. What a stage wrote besides its result goes once the result is there,
+    and so does the result of the stage before."""
+    docs, old = table(spark, sf_dir, "documents"), len(written(spark))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, written(spark)[old:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
