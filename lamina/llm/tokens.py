@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from . import textvec as V
 
-#: Words in the cache of one Python worker; it starts again from empty when it is full.
+#: Words in the cache of one Python worker; it starts again from empty when it is full. One call's words are held together, however many.
 CACHE_WORDS = 1_000_000
 
 
@@ -40,8 +40,6 @@ class WordTokenizer:
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Add words that the cache does not hold; `hashes` is sorted."""
-        if len(self.hashes) + len(hashes) > self.cache_words:
-            self._clear()
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         begin = len(self.ids) + np.append(0, np.cumsum(count))[:-1]
@@ -55,11 +53,13 @@ class WordTokenizer:
         starts, ends, first = V.spans(data, offsets, V.IS_SOLID)
         known, at, word = np.unique(V.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(known):
-            for _ in range(2):  # the second time only if the cache started again in between
-                place = np.minimum(np.searchsorted(self.hashes, known), max(0, len(self.hashes) - 1))
-                new = self.hashes[place] != known if len(self.hashes) else np.ones(len(known), bool)
-                if not new.any():
-                    break
+            place = np.minimum(np.searchsorted(self.hashes, known), max(0, len(self.hashes) - 1))
+            new = self.hashes[place] != known if len(self.hashes) else np.ones(len(known), bool)
+            if len(self.hashes) + new.sum() > self.cache_words:
+                # All of this call's words are learned again, even where they alone are more than the cache holds.
+                self._clear()
+                new[:] = True
+            if new.any():
                 raw = data.tobytes()
                 self._learn(known[new], [raw[starts[i] : ends[i]].decode() for i in at[new]])
             place = np.searchsorted(self.hashes, known)

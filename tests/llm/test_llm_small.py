@@ -294,6 +294,14 @@ def test_token_cache_restarts():
             assert ids.tolist() == own.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] and edges.tolist() == [0, len(ids)]
 
 
+def test_token_cache_smaller_than_a_text():
+    own = tokens.WordTokenizer(cache_words=1000)
+    long = " ".join(f"w{i:x}" for i in range(1200))
+    for t in ("w0 w1 w2 w3 w4", long, "w5 other", long):
+        ids, _ = own.encode(pa.array([t]))
+        assert ids.tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 # Personal data
 
 
