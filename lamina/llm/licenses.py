@@ -3,12 +3,13 @@
 A multinomial logistic regression on hashed word 1-, 2- and 3-grams tells licence families from an unknown licence
 and from ordinary text. It is trained on phrases built from the families' names and texts and on a bounded sample of
 the corpus's own lines; its temperature is calibrated on held-out phrases. A prediction counts as confirmed if
-the paragraph holds most word pairs of a template of the predicted family; a likely licence without a confirmed
-family is of the unknown class.
+the paragraph holds most word pairs of a family's template, or a one-word name such as MIT next to a cue; several
+families may be confirmed. A likely licence without a confirmed family is of the unknown class.
 """
 
 from __future__ import annotations
 
+import collections
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ HASH_BITS = 20
 GRAMS = (1, 2, 3)
 #: Share of a template's word pairs that a paragraph must hold.
 CONFIRM = 0.7
-#: The share from which an unconfirmed family is still taken for an unknown licence.
+#: Lines with this share of a template are not taken for ordinary text in training.
 RESEMBLE = 0.4
 #: Calibrated probability of "some licence" from which a paragraph is reported.
 REPORT = 0.5
@@ -69,7 +70,7 @@ TEXTS = {
 }
 PHRASES = ["{}", "License: {}", "Licensed under the {}.", "Released under the {}.", "Published under the terms of the {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "Distributed under the {}. See the file for details.", "This program is made available under the {}.", "SPDX-License-Identifier: {}", "The code in this repository is under {}.", "You may use, copy and modify this under the {}, as described above.", "Copyright 2020 the authors, all text under {}"]
 OTHER_NAMES = ["{} Public License", "{} Source License", "{} License, Version 1.1", "{} Community License", "{} Software License Agreement", "{} Open License 2.0"]
-ORDINARY = ["He lost his driving license in the spring.", "The license plate was new.", "A fishing licence costs ten pounds a year.", "General terms of the public meeting, version 3.", "They were under the bridge.", "This work is under way.", "All rights reserved.", "Released in the autumn of that year.", "The foundation published a free program for the public.", "The company licensed the song to a film studio.", "The university awards a license to teach.", "Poetic license allows it.", "Copyright 2021 the authors.", "See the file for details.", "Published by the university.", "The software is under test.", "version 2.0", "You may use the library from nine to five."]
+ORDINARY = ["He lost his driving license in the spring.", "The license plate was new.", "A fishing licence costs ten pounds a year.", "General terms of the public meeting, version 3.", "They were under the bridge.", "This work is under way.", "All rights reserved.", "Released in the autumn of that year.", "The foundation published a free program for the public.", "The company licensed the song to a film studio.", "The university awards a license to teach.", "Poetic license allows it.", "Copyright 2021 the authors.", "See the file for details.", "Published by the university.", "The software is under test.", "version 2.0", "You may use the library from nine to five.", "He studied at MIT.", "She is a professor at MIT in Boston.", "MIT researchers built a robot.", "Er fuhr mit dem Auto.", "Wir gehen mit der Familie in die Stadt.", "mit", "The ISC met in 2004.", "The Apache helicopter landed.", "The Apache people live in the south.", "Apache", "The Apache server is down.", "Mozilla is a company.", "The eclipse was seen in 1999.", "An expat moved to Spain.", "The boost was small.", "They have much in common.", "The attribution is wrong.", "The painting is public."]
 CLASSES = ["none", "unknown", *sorted(NAMES)]
 
 
@@ -103,6 +104,47 @@ def templates() -> dict[str, list[frozenset]]:
     return {k: [pairs_of(t) for t in [*names, *TEXTS.get(k, [])] if len(re.findall(r"\w+", t)) > 1] for k, names in NAMES.items()}
 
 
+#: Names of one word, by lower case: they say a licence only where a cue is next to them.
+SINGLE = {n.lower(): k for k, names in NAMES.items() for n in names if len(re.findall(r"\w+", n)) == 1}
+
+
+def _cues() -> list[re.Pattern]:
+    """What confirms a one-word name, the group "name": a word such as "License:" before it, another licence joined to it, the line for itself."""
+    single = "|".join(map(re.escape, sorted(SINGLE, key=len, reverse=True)))
+    every = "|".join(re.escape(n).replace(r"\ ", r"\s+") for n in sorted((n for names in NAMES.values() for n in names), key=len, reverse=True))
+    name, ends = rf"(?<![\w-])(?P<name>{single})(?![\w-])", r"(?=\s*(?:$|[^\w\s]|(?:or|and|with|licen[sc]e[sd]?|as|for|by|in|see|terms)\b))"
+    joined = r"(?:\s*[/|,&]\s*|\s+(?:or|and)\s+)(?:the\s+)?"
+    before = r"\b(?:licen[sc]e[sd]?|licensing|spdx-license-identifier)\b[\s\"'(`*]*[:=][\s\"'(`*]*|\b(?:under|licen[sc]e\s+is|licen[sc]ed\s+as)[\s\"'(`*]+(?:(?:terms\s+of|either|both|the|an?)[\s\"'(`*]+)*"
+    return [re.compile(f"(?:{before}){name}{ends}", re.I), re.compile(rf"(?<![\w-])(?:{every}){joined}{name}", re.I), re.compile(rf"{name}{joined}(?:{every})(?![\w-])", re.I), re.compile(rf"^\W*(?-i:(?P<name>{'|'.join(re.escape(n) for names in NAMES.values() for n in names if n.lower() in SINGLE)}))\W*$")]
+
+
+CUES = _cues()
+
+
+def families(text: str, known: dict[str, list[frozenset]]) -> list[str]:
+    """The families that the text's words confirm.
+
+    The best template comes first and takes the word pairs of its family with it, so that a text which one
+    family shares with another counts once.
+    """
+    words = re.findall(r"\w+", text.lower())
+    left = collections.Counter(zip(words, words[1:], strict=False))
+    out = []
+    while True:
+        share, _, family = max(((sum(w in left for w in t) / len(t), len(t), k) for k, own in known.items() if k not in out for t in own), default=(0.0, 0, ""))
+        if share < CONFIRM:
+            break
+        out.append(family)
+        left -= collections.Counter(frozenset().union(*known[family]))
+    for cue in CUES:
+        at = 0
+        while m := cue.search(text, at):
+            at = m.start("name") + 1
+            if (family := SINGLE[m["name"].lower()]) not in out:
+                out.append(family)
+    return sorted(out)
+
+
 def examples(ordinary: list[str]) -> tuple[list[str], np.ndarray]:
     texts, y = [], []
     for k, family in enumerate(CLASSES[2:], 2):
@@ -198,16 +240,12 @@ def scan(batches: Iterator[pa.RecordBatch], model: Classifier) -> Iterator[pa.Re
         for i in np.flatnonzero(1 - p[:, 0] >= REPORT):
             row = int(np.searchsorted(first, where[i], "right") - 1)
             number = int(where[i] - first[row])
-            words = pairs_of(texts[row].as_py().split("\n")[number])
-            # The most likely family of which a template is there; without one, the licence is unknown.
-            ranked = [CLASSES[c] for c in np.argsort(-p[i]) if c > 1]
-            near = lambda f: max((len(t & words) / len(t) for t in known[f]), default=0)
-            top = CLASSES[int(p[i, 1:].argmax()) + 1]
-            family = top if top != "unknown" and near(top) >= CONFIRM else next((f for f in ranked[:3] if near(f) >= CONFIRM), "unknown")
-            if family == "unknown" and top != "unknown" and near(top) < RESEMBLE:
-                continue
-            chance = 1 - p[i, 0] if family == "unknown" else p[i, CLASSES.index(family)]
-            found[row].append({"line": number, "family": family, "probability": float(chance), "confirmed": family != "unknown"})
+            # Every family that the line confirms; a likely licence without one is unknown. The classifier shares
+            # the chance out among families, so several have that of any licence.
+            confirmed = families(texts[row].as_py().split("\n")[number], known)
+            for family in confirmed or ["unknown"]:
+                chance = p[i, CLASSES.index(family)] if len(confirmed) == 1 else 1 - p[i, 0]
+                found[row].append({"line": number, "family": family, "probability": float(chance), "confirmed": bool(confirmed)})
         out = {n: batch.column(n) for n in batch.schema.names} | {"licenses": pa.array(found, kind)}
         yield pa.RecordBatch.from_pydict(out)
 

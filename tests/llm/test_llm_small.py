@@ -447,6 +447,25 @@ def test_licenses(spark):
     assert [x.line for x in got[0].licenses] == [1]
 
 
+@pytest.fixture(scope="module")
+def license_model():
+    return licenses.train([])
+
+
+def license_lines(model, text):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    return [(x["line"], x["family"]) for x in next(licenses.scan(iter([batch]), model)).to_pylist()[0]["licenses"]]
+
+
+def test_licenses_of_one_word(license_model):
+    one = {"SPDX-License-Identifier: MIT": "MIT", "License: MIT": "MIT", "Licensed under MIT.": "MIT", "SPDX-License-Identifier: ISC": "ISC", "SPDX-License-Identifier: Unlicense": "Unlicense", "License: GPLv2": "GPL"}
+    several = {"MIT OR Apache-2.0": "Apache MIT", "SPDX-License-Identifier: MIT OR Apache-2.0 OR ISC": "Apache ISC MIT", "Licensed under the MIT License or the Apache License, Version 2.0": "Apache MIT", "Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA"}
+    for text, want in (one | several).items():
+        assert license_lines(license_model, text) == [(0, f) for f in want.split()], text
+    for text in ("He studied at MIT.", "Er fuhr mit dem Auto.", "Sie fuhren unter anderem mit dem Auto."):
+        assert license_lines(license_model, text) == []
+
+
 # All operators on empty tables
 
 
