@@ -9,7 +9,9 @@ families may be confirmed. A likely licence without a confirmed family is of the
 
 from __future__ import annotations
 
+import bisect
 import collections
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +32,8 @@ HASH_BITS = 20
 GRAMS = (1, 2, 3)
 #: Share of a template's word pairs that a paragraph must hold.
 CONFIRM = 0.7
+#: Word pairs of a template from which it is looked for in whole paragraphs; shorter ones are names.
+LONG = 8
 #: Lines with this share of a template are not taken for ordinary text in training.
 RESEMBLE = 0.4
 #: Calibrated probability of "some licence" from which a paragraph is reported.
@@ -94,11 +98,18 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(lines), first
 
 
+def word_hashes(text: str) -> np.ndarray:
+    data, offsets = V.column_bytes(pa.array([text]))
+    starts, ends, _ = V.spans(data, offsets, V.IS_ALNUM)
+    return V.span_hashes(V.LOWER[data], starts, ends)
+
+
 def pairs_of(text: str) -> frozenset[tuple[str, str]]:
     words = re.findall(r"\w+", text.lower())
     return frozenset(zip(words, words[1:], strict=False)) if len(words) > 1 else frozenset((w, "") for w in words)
 
 
+@functools.lru_cache(maxsize=1)
 def templates() -> dict[str, list[frozenset]]:
     """Of each family: word pairs of its names (of two words at least) and texts."""
     return {k: [pairs_of(t) for t in [*names, *TEXTS.get(k, [])] if len(re.findall(r"\w+", t)) > 1] for k, names in NAMES.items()}
@@ -121,27 +132,39 @@ def _cues() -> list[re.Pattern]:
 CUES = _cues()
 
 
-def families(text: str, known: dict[str, list[frozenset]]) -> list[str]:
-    """The families that the text's words confirm.
+@functools.lru_cache(maxsize=1)
+def _by_pair() -> dict[tuple[str, str], set[str]]:
+    out: dict[tuple[str, str], set[str]] = collections.defaultdict(set)
+    for k, own in templates().items():
+        for w in frozenset().union(*own):
+            out[w].add(k)
+    return dict(out)
+
+
+@functools.lru_cache(maxsize=4096)
+def families(text: str) -> list[tuple[str, float]]:
+    """The families that the text's words confirm, with the share of a template that is there.
 
     The best template comes first and takes the word pairs of its family with it, so that a text which one
     family shares with another counts once.
     """
     words = re.findall(r"\w+", text.lower())
-    left = collections.Counter(zip(words, words[1:], strict=False))
+    left = collections.Counter(w for w in zip(words, words[1:], strict=False) if w in _by_pair())
+    every = templates()
+    known = {k: every[k] for k in {k for w in left for k in _by_pair()[w]}}
     out = []
     while True:
-        share, _, family = max(((sum(w in left for w in t) / len(t), len(t), k) for k, own in known.items() if k not in out for t in own), default=(0.0, 0, ""))
+        share, _, family = max(((sum(w in left for w in t) / len(t), len(t), k) for k, own in known.items() if k not in dict(out) for t in own), default=(0.0, 0, ""))
         if share < CONFIRM:
             break
-        out.append(family)
+        out.append((family, share))
         left -= collections.Counter(frozenset().union(*known[family]))
     for cue in CUES:
         at = 0
         while m := cue.search(text, at):
             at = m.start("name") + 1
-            if (family := SINGLE[m["name"].lower()]) not in out:
-                out.append(family)
+            if (family := SINGLE[m["name"].lower()]) not in dict(out):
+                out.append((family, 1.0))
     return sorted(out)
 
 
@@ -225,35 +248,151 @@ def train(ordinary: list[str], ridge: float = 0.02) -> Classifier:
 KIND = "array<struct<line:int,family:string,probability:double,confirmed:boolean>>"
 
 
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What is judged: lines, joins of two neighbouring lines, and paragraphs.
+
+    A paragraph is a run of lines of one row with words. Returns the n-grams' hashes and the unit of each, each
+    unit's first and last line over the column, each line's edge in bytes (and one more), and each row's first line.
+    """
+    breaks = np.flatnonzero(data == 10)
+    first = np.append(0, np.cumsum(np.diff(np.searchsorted(breaks, offsets)) + 1))
+    n = int(first[-1])
+    edges = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
+    starts, ends, _ = V.spans(data, offsets, V.IS_ALNUM)
+    line = np.searchsorted(edges, starts, "right") - 1
+    words = V.span_hashes(V.LOWER[data], starts, ends)
+    held = np.bincount(line, minlength=n) > 0
+    follows = np.zeros(n, bool)  # the line before belongs to the same paragraph
+    follows[1:] = held[1:] & held[:-1]
+    follows[first[:-1]] = False
+    head = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
+    tail = np.zeros(n, np.int64)  # by head
+    np.maximum.at(tail, head, np.arange(n))
+    hashes, owner = [], []
+    for k in GRAMS:
+        if len(words) < k:
+            continue
+        a, b = line[: len(line) - k + 1], line[k - 1 :]
+        same = head[a] == head[b]
+        h, a, b = (V.ngram_hashes(words, k)[same] & _MASK).astype(np.int64), a[same], b[same]
+        one, near = a == b, b - a <= 1
+        for who, unit in ((one, a), (one & follows[a], n + a - 1), (near & np.append(follows[1:], False)[a], n + a), (slice(None), 2 * n + head[a])):
+            hashes.append(h[who])
+            owner.append(unit[who])
+    at = np.arange(n)
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *hashes]), np.concatenate([empty, *owner]), np.concatenate([at, at, at]), np.concatenate([at, at + 1, tail]), np.append(edges, len(data)), first
+
+
+def stretches(lines: list[str], known: dict[str, list[frozenset]]) -> list[tuple[int, int, str, float]]:
+    """(first line, last line, family, share) where a paragraph's words hold most of a licence's text, wherever its lines break."""
+    words = [(w, i) for i, t in enumerate(lines) for w in re.findall(r"\w+", t.lower())]
+    pairs = [(a[0], b[0]) for a, b in zip(words, words[1:], strict=False)]
+    held, best = set(pairs), []
+    for family, own in known.items():
+        for t in own:
+            if len(t) < LONG or sum(w in held for w in t) < CONFIRM * len(t):
+                continue
+            # The stretch of twice the template's length at most with the largest share of it.
+            at = [k for k, w in enumerate(pairs) if w in t]
+            count: collections.Counter = collections.Counter()
+            i = 0
+            for k in at:
+                count[pairs[k]] += 1
+                while k - at[i] >= 2 * len(t):
+                    count[pairs[at[i]]] -= 1
+                    if not count[pairs[at[i]]]:
+                        del count[pairs[at[i]]]
+                    i += 1
+                while count[pairs[at[i]]] > 1:
+                    count[pairs[at[i]]] -= 1
+                    i += 1
+                if len(count) >= CONFIRM * len(t):
+                    best.append((len(count) / len(t), len(t), at[i], k + 1, family))
+    taken: list[tuple[int, int, str, float]] = []
+    for share, _, a, b, family in sorted(best, key=lambda x: (-x[0], -x[1], x[3] - x[2], x[2])):
+        k = bisect.bisect_left(taken, (b,))  # `taken` is in order and does not overlap
+        if not k or taken[k - 1][1] <= a:
+            taken.insert(k, (a, b, family, share))
+    return [(words[a][1], words[b][1], family, share) for a, b, family, share in taken]
+
+
 def scan(batches: Iterator[pa.RecordBatch], model: Classifier) -> Iterator[pa.RecordBatch]:
     known = templates()
+    every = [t for k in known for t in [*NAMES[k], *TEXTS.get(k, [])] if len(pairs_of(t)) >= LONG]
+    marks = [np.unique((V.ngram_hashes(word_hashes(t), 2) & _MASK).astype(np.int64)) for t in every]
     kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
     for batch in V.slices(batches):
-        hashes, lines, first = grams(batch.column("text"))
-        # n-grams count once in a line; those without weights play no part.
+        data, offsets = V.column_bytes(batch.column("text"))
+        hashes, owner, begin, end, edges, first = units(data, offsets)
+        # n-grams count once in a unit; those without weights play no part.
         own = model.place[hashes] >= 0
-        keys = np.unique(lines[own] << HASH_BITS | hashes[own])
+        keys = np.unique(owner[own] << HASH_BITS | hashes[own])
         where, place = np.unique(keys >> HASH_BITS, return_inverse=True)
         p = model.probabilities(model.odds(keys & ((1 << HASH_BITS) - 1), place, len(where)))
-        found: list[list[dict]] = [[] for _ in range(len(batch))]
-        texts = batch.column("text")
-        for i in np.flatnonzero(1 - p[:, 0] >= REPORT):
-            row = int(np.searchsorted(first, where[i], "right") - 1)
-            number = int(where[i] - first[row])
-            # Every family that the line confirms; a likely licence without one is unknown. The classifier shares
+        found: list[list[tuple]] = [[] for _ in range(len(batch))]
+        likely = 1 - p[:, 0] >= REPORT
+        # Paragraphs that may hold a licence's text are compared whatever the classifier says of their words at large.
+        inner = keys[keys >> HASH_BITS >= 2 * first[-1]]
+        inner = inner[np.isin(inner & ((1 << HASH_BITS) - 1), np.concatenate(marks))]
+        for own_marks in marks:
+            unit, many = np.unique(inner[np.isin(inner & ((1 << HASH_BITS) - 1), own_marks)] >> HASH_BITS, return_counts=True)
+            likely[np.searchsorted(where, unit[many >= len(own_marks) / 2])] = True
+        for i in np.flatnonzero(likely):
+            a, b = int(begin[where[i]]), int(end[where[i]])
+            row = int(np.searchsorted(first, a, "right") - 1)
+            at = a - int(first[row])
+            lines = data[edges[a] : edges[b + 1]].tobytes().decode().split("\n")[: b - a + 1]
+            # Every family that the unit confirms; a likely licence without one is unknown. The classifier shares
             # the chance out among families, so several have that of any licence.
-            confirmed = families(texts[row].as_py().split("\n")[number], known)
-            for family in confirmed or ["unknown"]:
-                chance = p[i, CLASSES.index(family)] if len(confirmed) == 1 else 1 - p[i, 0]
-                found[row].append({"line": number, "family": family, "probability": float(chance), "confirmed": bool(confirmed)})
-        out = {n: batch.column(n) for n in batch.schema.names} | {"licenses": pa.array(found, kind)}
+            some = 1 - float(p[i, 0])
+            if where[i] < 2 * first[-1]:
+                confirmed = families("\n".join(lines))
+                for family, share in confirmed:
+                    chance = float(p[i, CLASSES.index(family)]) if len(confirmed) == 1 else some
+                    found[row].append((at, at + b - a, family, chance, share, False))
+            else:
+                confirmed = stretches(lines, known)
+                for x, y, family, share in confirmed:
+                    own_text = grams(pa.array([" ".join(lines[x : y + 1])]))
+                    inside = np.unique(own_text[0][model.place[own_text[0]] >= 0])
+                    chance = model.probabilities(model.odds(inside, np.zeros(len(inside), np.int64), 1))[0, CLASSES.index(family)]
+                    found[row].append((at + x, at + y, family, float(chance), share, True))
+            if not confirmed and some >= REPORT:
+                found[row].append((at, at + b - a, "unknown", some, 0.0, False))
+        out = {n: batch.column(n) for n in batch.schema.names} | {"licenses": pa.array([settled(f) for f in found], kind)}
         yield pa.RecordBatch.from_pydict(out)
 
 
+def settled(found: list[tuple[int, int, str, float, float, bool]]) -> list[dict]:
+    """Each licence once, at its first line.
+
+    Of units that overlap, a wider one adds a family if it holds more of it than the narrower ones inside, and then
+    stands for these and the unknown ones in it; a wider unknown one counts only where nothing else was found.
+    """
+    held: dict[int, list[tuple]] = collections.defaultdict(list)  # by line
+    for new in sorted(found, key=lambda x: (x[2] == "unknown", x[5], x[1] - x[0], x[0], x[2])):
+        a, b, family, _, share, text = new
+        over = [x for i in range(a, b + 1) if i in held for x in held[i]]
+        same = [x for x in over if x[2] == family]
+        if family == "unknown" and over or same and not text and share <= max(x[4] for x in same):
+            continue
+        if same and share <= max(x[4] for x in same):
+            new = (min(a, *(x[0] for x in same)), max(b, *(x[1] for x in same)), *max(same, key=lambda x: x[4])[2:])
+        for x in dict.fromkeys(same):
+            for i in range(x[0], x[1] + 1):
+                held[i].remove(x)
+        for i in range(new[0], new[1] + 1):
+            held[i].append(new)
+    out = {x for own in held.values() for x in own}
+    return [{"line": x[0], "family": x[2], "probability": x[3], "confirmed": x[2] != "unknown"} for x in sorted(out, key=lambda x: (x[0], x[2]))]
+
+
 def scan_licenses(docs: DataFrame, *, carry: tuple[str, ...] = (), fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
     """Add `licenses` to each document: array of (line, family, probability, confirmed), by line.
 
-    Paragraphs are the lines of the whole text. Edge cases: null and empty texts and lines without words have no
+    Paragraphs are the lines of the whole text, joins of two neighbouring ones and runs of lines with words; a
+    licence is given at its first line. Edge cases: null and empty texts and lines without words have no
     licence; lines whose licence no template confirms are of the family "unknown"; repeated rows are scanned one by
     one; an empty table gives an empty result; other columns play no part. `fit_documents` bounds the training
     sample of ordinary lines, not the scan.

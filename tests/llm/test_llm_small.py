@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -466,6 +467,18 @@ def test_licenses_of_one_word(license_model):
         assert license_lines(license_model, text) == []
 
 
+@pytest.mark.parametrize("width", [25, 40, 72])
+@pytest.mark.parametrize("family", ["MIT", "BSD", "ISC"])
+def test_licenses_hard_wrapped(license_model, family, width):
+    wrapped = textwrap.fill(licenses.TEXTS[family][0], width)
+    near = ["The house was old and stood by the river.", "Nobody had lived in it for years."]
+    for text, at in ((wrapped, 0), (f"A title\n\n{wrapped}\n\n{near[0]}", 2), ("\n".join([*near, wrapped, *near]), 2)):
+        assert license_lines(license_model, text) == [(at, family)]
+    assert license_lines(license_model, "Released under the Apache\nLicense, Version 2.0.") == [(0, "Apache")]
+    assert license_lines(license_model, "\n".join(near * 3)) == []
+    assert license_lines(license_model, "\n".join([wrapped] * 5)) == [(i * (wrapped.count("\n") + 1), family) for i in range(5)]
+
+
 # All operators on empty tables
 
 
