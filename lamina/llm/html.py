@@ -2,7 +2,7 @@
 
 Every paragraph passes points, for its length and its commas, to its ancestors: all to the parent, half to the
 grandparent, ever less above, discounted by the share of link text. The best container, or the article around it,
-is kept with those siblings that read like content; menus, adverts, forms and the like are cut out of it. The tree
+is kept with those siblings that hold paragraphs or headings with few links; menus, adverts, forms and the like are cut out of it. The tree
 is flat arrays in document order, so that the depth of nesting and the length of a page do not matter.
 """
 
@@ -32,24 +32,32 @@ PARAGRAPH = frozenset("p pre td blockquote li dd div section article main figcap
 DROPPED = frozenset("script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas dialog menu head title noembed noframes xmp audio video map fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 #: Words in class or id that mark what is no part of an article.
-DROPPED_WORDS = frozenset("ad ads adv advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog discussion disqus footer form gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
+DROPPED_WORDS = frozenset("ad ads adv advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notification overlay pager pagination popup promo promoted promotion recommended recommendations replies reply respond share sharing sidebar signup skip sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
+#: Words that an article's own parts bear as well: they mark what has many links or little prose.
+WEAK_WORDS = frozenset("discussion legal notice notices related search social".split())
+#: Characters outside links from which a block with a weak word counts as prose.
+PROSE = 100
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEADER_WORDS = frozenset(("header",))
 
 
-def _unlikely(tag: str, attrs: dict[str, str]) -> bool:
+def _unlikely(tag: str, attrs: dict[str, str]) -> int:
+    """0: likely a part of an article, 1: not, 2: only with prose."""
     if tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
+        return 1
     if "style" in attrs and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs["style"], re.I):
-        return True
+        return 1
     words = _WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    return any(w in DROPPED_WORDS for w in words) and tag not in ("body", "html")
+    if tag in ("body", "html") or not words:
+        return 0
+    return 1 if any(w in DROPPED_WORDS for w in words) else 2 * any(w in WEAK_WORDS for w in words)
 
 
 class Page:
     """The tree: for each node its tag, parent and whether it is unlikely; texts and breaks in page order."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.unlikely, self.site_header = ["#"], [-1], [False], [False]
+        self.tag, self.parent, self.unlikely, self.site_header = ["#"], [-1], [0], [False]
         self.content: list[tuple[int, str]] = []  # (node, text); a break is a blank
         stack, at, content = [0], 0, self.content
         raw_end: dict[str, re.Pattern] = {}
@@ -130,7 +138,9 @@ class Page:
         total = max(1, length[0] - links[0])
         cut = [False] * n
         for i in range(1, n):
-            bad = self.unlikely[i] or self.site_header[i]
+            bad = self.unlikely[i] == 1 or self.site_header[i]
+            if self.unlikely[i] == 2:
+                bad = links[i] > 0.3 * length[i] or length[i] - links[i] < PROSE and self.tag[i] not in HEADINGS
             if bad and self.tag[i] not in DROPPED and length[i] - links[i] > 0.6 * total:
                 bad = False
             if not bad and self.tag[i] in ("ul", "ol", "table", "div", "section") and length[i] and links[i] > 0.8 * length[i]:
@@ -170,14 +180,24 @@ class Page:
             if self.tag[up] in ("article", "main") and not cut[up]:
                 return {up}
             up = self.parent[up]
+        # A wrapper of nothing else stands for what it wraps.
+        texts: dict[int, int] = {}
+        for i in range(1, len(self.tag)):
+            if length[i] and not cut[i]:
+                texts[self.parent[i]] = texts.get(self.parent[i], 0) + 1
+        while self.tag[best] not in ("body", "html") and self.parent[best] > 0 and texts.get(self.parent[best]) == 1 and length[self.parent[best]] - links[self.parent[best]] > 0:
+            best = self.parent[best]
         if self.tag[best] in ("body", "html"):
             return {best}
-        least, out = max(10.0, 0.2 * score[best]), {best}
+        titled = [t in HEADINGS and not c for t, c in zip(self.tag, cut, strict=True)]
+        for i in range(len(self.tag) - 1, 0, -1):
+            titled[self.parent[i]] |= titled[i]
+        out = {best}
         for i in range(1, len(self.tag)):
             if i == best or cut[i] or self.parent[i] != self.parent[best]:
                 continue
-            density = links[i] / max(1, length[i])
-            if score.get(i, 0.0) >= least or self.tag[i] in ("h1", "h2", "h3") and density < 0.3 or self.tag[i] in ("p", "pre", "blockquote") and length[i] > 80 and density < 0.25:
+            # Of the best container's siblings, all with paragraphs or a heading of few links, however short.
+            if links[i] / max(1, length[i]) < 0.3 and (score.get(i, 0.0) > 0 or titled[i] or self.tag[i] in ("p", "pre", "blockquote") and length[i] > 0):
                 out.add(i)
         return out
 

@@ -365,6 +365,20 @@ def test_extraction():
     assert html.main_text(plain) == "T Body text, one, two, three, long enough. b"
 
 
+def test_extraction_keeps_short_sections():
+    para = "A sentence of the text, which goes on, and on, and on until it is long enough. " * 3
+    body = f"<div class=body>{f'<p>{para}</p>' * 10}</div>"
+    lead = f"<div class=lead><p>Lead text. {para}</p></div>"
+    menu = "<div class=list>" + "<p><a href=x>Another page of this site, with a long name</a></p>" * 5 + "</div>"
+    related = "<div class=related>" + "<p><a href=x>Another page of this site, with a long name</a></p>" * 5 + "</div>"
+    want = " ".join(f"Title Lead text. {para} {para * 10}".split())
+    for inner in (body, f"<div><div>{body}</div></div>"):
+        page = f"<body><div id=page><div><h1>Title</h1></div>{lead}{inner}{menu}{related}</div></body>"
+        assert html.main_text(page) == want
+    own = f"<article><p>{para}</p><h2 id='related-work'>Related work</h2><p>{para}</p><section id='discussion'><p>{para}</p></section><div class=social><p>Tell others about it</p></div></article>"
+    assert html.main_text(own) == " ".join(f"{para} Related work {para} {para}".split())
+
+
 def test_extraction_on_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     rows = html.extract(pages, carry=("url",)).collect()
