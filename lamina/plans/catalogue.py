@@ -146,6 +146,12 @@ def q19_clean_stats(spark, sf_dir):
     return stats["duplicates_dropped"].crossJoin(stats["quality_dropped"])
 
 
+@query
+def q19b_near_clean_stats(spark, sf_dir):
+    _, stats = Deck(fx.cards(spark, sf_dir)).clean()
+    return stats["duplicates_dropped"].crossJoin(stats["quality_dropped"])
+
+
 @query
 def q20_document_stats(spark, sf_dir):
     pages = P.finalize(fx.raw_pages(spark, sf_dir)).filter("text <> ''")
@@ -213,6 +219,11 @@ def q30_deduplicate_kept(spark, sf_dir):
     return dedup.deduplicate(fx.cards(spark, sf_dir), threshold=1.0).deck.select("id", "question")
 
 
+@query
+def q30b_near_deduplicate_kept(spark, sf_dir):
+    return dedup.deduplicate(fx.cards(spark, sf_dir)).deck.select("id", "question")
+
+
 @query
 def q31_deduplicate_dropped(spark, sf_dir):
     return dedup.deduplicate(fx.cards(spark, sf_dir), threshold=1.0).dropped.select("id", "duplicate_of")
@@ -289,6 +300,13 @@ def q40_clean_pipeline(spark, sf_dir):
     return _coverage(deck.df)
 
 
+@query
+def q40b_near_clean_pipeline(spark, sf_dir):
+    """The same with duplicates by similarity, at the operator's default."""
+    deck, _ = Deck(fx.cards(spark, sf_dir)).clean()
+    return _coverage(deck.df)
+
+
 @query
 def q41_prompts(spark, sf_dir):
     chunks = C.chunk_documents(fx.markdown_pages(spark, sf_dir), max_tokens=200, min_tokens=60, document_order="doc_id")

@@ -63,6 +63,35 @@ def test_duplicates_equal_brute_force(spark, card, threshold):
     assert sorted(r.id for r in got.deck.collect()) == [i for i in range(60) if i not in want]
 
 
+def test_cleaning_queries_at_the_default_threshold(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lamina.plans import fixtures as fx
+    from lamina.plans.catalogue import QUERIES, _coverage
+
+    rng = random.Random(5)
+    base = ["The old harbour was closed for the winter and all boats were brought to land before the storm came over the hills.", "A museum of local history opens in the former mill beside the river, with maps, tools and letters from two centuries."]
+    texts = []
+    for _ in range(40):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 8)):
+            t[rng.randrange(3, len(t))] = rng.choice("abcdefg ")
+        texts.append("".join(t))
+    n = len(texts)
+    pq.write_table(pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": texts, "lang": ["en"] * n, "source": ["s"] * n}), tmp_path / "documents.parquet")
+    at = str(tmp_path)
+    cards = [r.asDict() for r in fx.cards(spark, at).orderBy("id").collect()]
+    want = brute_groups(cards, dedup.THRESHOLD)
+    assert len(want) > len(brute_groups(cards, 1.0))
+    kept = fx.cards(spark, at).filter(~fx.F.col("id").isin([*want]))
+    good = quality.filter_quality(kept)
+    assert sorted(r.id for r in QUERIES["q30b_near_deduplicate_kept"](spark, at).collect()) == [i for i in range(n) if i not in want]
+    assert {r.id: r.duplicate_of for r in QUERIES["q31b_near_deduplicate_dropped"](spark, at).collect()} == want
+    assert QUERIES["q19b_near_clean_stats"](spark, at).first() == (len(want), good.dropped.count())
+    assert sorted(QUERIES["q40b_near_clean_pipeline"](spark, at).collect()) == sorted(_coverage(good.deck).collect())
+
+
 def test_groups_and_empty(spark, card):
     deck = cards_to_deck(spark, [card(), card(question="what does a RIBOSOME do"), card(topic="x")])
     assert [r.ids for r in dedup.find_near_duplicates(deck).collect()] == [[0, 1]]
