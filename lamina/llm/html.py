@@ -2,12 +2,14 @@
 
 Every paragraph passes points, for its length and its commas, to its ancestors: all to the parent, half to the
 grandparent, ever less above, discounted by the share of link text. The best container, or the article around it,
-is kept with those siblings that hold paragraphs or headings with few links; menus, adverts, forms and the like are cut out of it. The tree
-is flat arrays in document order, so that the depth of nesting and the length of a page do not matter.
+is kept with those siblings that hold paragraphs or headings with few links; menus, adverts, forms and the like are
+cut out of it. The tree is flat arrays in document order, and the open elements are kept by name, so that the cost is
+linear in the page, however deep its nesting.
 """
 
 from __future__ import annotations
 
+import collections
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -28,6 +30,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag closes an open element of these names, unless one of the names after the bar is nearer.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+P_ENDS = ("p", "article section div td th table body button")
 PARAGRAPH = frozenset("p pre td blockquote li dd div section article main figcaption".split())
 DROPPED = frozenset("script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas dialog menu head title noembed noframes xmp audio video map fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
@@ -60,6 +63,7 @@ class Page:
         self.tag, self.parent, self.unlikely, self.site_header = ["#"], [-1], [0], [False]
         self.content: list[tuple[int, str]] = []  # (node, text); a break is a blank
         stack, at, content = [0], 0, self.content
+        self.places: dict[str, list[int]] = collections.defaultdict(list)  # of the open elements in the stack, by tag
         raw_end: dict[str, re.Pattern] = {}
         while at < len(html):
             m = _TOKEN.search(html, at)
@@ -76,10 +80,8 @@ class Page:
             if tag not in INLINE:
                 content.append((stack[-1], " "))
             if m.group(1):
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
+                if places := self.places.get(tag):
+                    self._cut(stack, places[-1])
                 if tag not in INLINE:
                     content.append((stack[-1], " "))
                 continue
@@ -89,31 +91,28 @@ class Page:
             self.parent.append(stack[-1])
             attrs = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(m.group(3))} if m.group(3).strip() else {}
             self.unlikely.append(_unlikely(tag, attrs))
-            inside = any(self.tag[s] in ("article", "main") for s in stack) if tag == "header" or attrs else True
+            inside = bool(self.places.get("article") or self.places.get("main"))
             self.site_header.append(not inside and (tag == "header" or bool(_HEADER_WORDS & set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())))))
             if tag in RAW:
                 end = raw_end.setdefault(tag, re.compile(rf"</{tag}\b[^>]*>?", re.I))
                 close = end.search(html, at)
                 at = close.end() if close else len(html)
-            elif tag not in VOID and not m.group(3).rstrip().endswith("/"):
+            elif tag not in VOID:  # a slash at the end of a start tag has no meaning
+                self.places[tag].append(len(stack))
                 stack.append(node)
-            elif tag not in VOID:
-                stack.append(node)  # a slash at the end of a start tag has no meaning
+
+    def _cut(self, stack: list[int], k: int) -> None:
+        """Close the k-th open element and all in it."""
+        for node in stack[k:]:
+            self.places[self.tag[node]].pop()
+        del stack[k:]
 
     def _implied_ends(self, stack: list[int], tag: str) -> None:
-        def close(names: str | frozenset[str], walls: str | frozenset[str]) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] in names:
-                    del stack[k:]
-                    return
-                if self.tag[stack[k]] in walls:
-                    return
-
-        if tag in CLOSES:
-            names, walls = CLOSES[tag]
-            close(frozenset(names.split()), frozenset(walls.split()))
-        if tag in CLOSES_P:
-            close(frozenset(("p",)), frozenset("article section div td th table body button".split()))
+        for names, walls in ([CLOSES[tag]] if tag in CLOSES else []) + ([P_ENDS] if tag in CLOSES_P else []):
+            nearest = lambda tags: max((self.places[t][-1] for t in tags.split() if self.places.get(t)), default=0)
+            k = nearest(names)
+            if k > nearest(walls):
+                self._cut(stack, k)
 
     def main_text(self) -> str:
         n = len(self.tag)
@@ -213,9 +212,9 @@ def extract(pages: DataFrame, *, html_column: str = "html", carry: tuple[str, ..
     space. Edge cases: a null or empty page, or one without text, gives an empty text; cut-off or badly nested
     markup is closed where a browser would close it; a page without paragraphs gives its article or its whole body
     without menus and the like; repeated rows are read one by one; an empty table gives an empty result; other
-    columns play no part. The whole page is read.
+    columns play no part, and a carried column named `text` gives way to the result. The whole page is read.
     """
-    pages = pages.select("page_id", html_column, *carry)
+    pages = V.chosen(pages, "page_id", html_column, carry, ("text",) if html_column != "text" else ())
     rest = [f for f in pages.schema if f.name != html_column]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 One Aho-Corasick pass over a text finds anchors: at-signs, schemes, digit pairs, plus signs before digits and
 identifier cues. Around each anchor a deterministic parser of linear cost expands the match to its boundaries and
-validates it. The parsers for emails, IP addresses, cards and phones give exactly the leftmost non-overlapping
+validates it. An anchor inside a span of its own kind starts no other one. The parsers for emails, IP addresses, cards and phones give exactly the leftmost non-overlapping
 matches of their base patterns, as every match lies in one run of the pattern's characters that holds an anchor.
 """
 
@@ -35,6 +35,7 @@ _LOGIN = re.compile(r"[^\s/@:\"'<>]+:[^\s/@\"'<>]+@[\w.-]+[^\s\"'<>]*")
 _IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?))?[\s:#=]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _ACCOUNT = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?))?[\s:#=]{1,3}([0-9](?:[ -]?[0-9]){5,17})(?![0-9-])")
+_ASSIGNED = re.compile(r"[\"']?\s{0,2}[:=]\s{0,2}")
 _SECRET = re.compile(r"[\"']?\s{0,2}[:=]\s{0,2}(?:\"([^\s\"]{8,})\"|'([^\s']{8,})'|([^\s\"',;]{8,}))")
 
 _CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account", "token": "secret", "password": "secret", "passwd": "secret", "secret": "secret", "api_key": "secret", "apikey": "secret", "api key": "secret"}
@@ -83,7 +84,7 @@ _DIGIT_SEP = frozenset("0123456789 -")
 def find(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text, in code points, sorted by start and then by kind."""
     spans: list[tuple[str, int, int]] = []
-    done = dict.fromkeys(("email", "ip", "card", "phone"), 0)
+    done = dict.fromkeys(KINDS, 0)
     for last, (what, length) in automaton().iter(text):
         at = last + 1 - length
         if what == "@":
@@ -98,7 +99,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
             while wide > 0 and (text[wide - 1] in _LOCAL or text[wide - 1].isalnum()):
                 wide -= 1
             m = _WIDE_DOMAIN.match(text, at + 1)
-            if wide < at and m and not text[wide : m.end()].isascii() and done.get("email_intl", 0) <= wide:
+            if wide < at and m and not text[wide : m.end()].isascii() and done["email_intl"] <= wide:
                 spans.append(("email_intl", wide, m.end()))
                 done["email_intl"] = m.end()
         elif what == "ip":
@@ -132,8 +133,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 if 9 <= sum(c in "0123456789" for c in m.group()) <= 15:
                     spans.append(("phone", m.start(), m.end()))
         elif what == "://":
-            m = _LOGIN.match(text, at + 3)
-            if m and at and text[at - 1].isalnum():
+            m = _LOGIN.match(text, at + 3) if at >= done["url_login"] and at and text[at - 1].isalnum() else None
+            if m:
                 start = at
                 while start and text[start - 1].isalnum() and at - start < 16:
                     start -= 1
@@ -141,14 +142,18 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 while text[stop - 1] in ".,;:!?)]}":
                     stop -= 1
                 spans.append(("url_login", start, stop))
+                done["url_login"] = m.end()
         elif at == 0 or not text[at - 1].isalnum():
+            # A value that begins inside the last secret is not read again, so that a text of cues costs no more.
+            if what == "secret" and (m := _ASSIGNED.match(text, last + 1)) and m.end() + 1 < done["secret"]:
+                continue
             pattern = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT, "secret": _SECRET}[what]
             m = pattern.match(text, last + 1)
             if m:
                 group = m.lastindex
                 start, stop = m.span(group)
                 if what != "iban" or _iban_ok(m.group(group)):
-                    if done.get(what, 0) <= start:
+                    if done[what] <= start:
                         spans.append((what, start, stop))
                         done[what] = stop
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
@@ -179,9 +184,10 @@ def find_pii(docs: DataFrame, *, carry: tuple[str, ...] = ()) -> DataFrame:
 
     Edge cases: null and empty texts have no spans; failing matches (an IP part above 255, a card without a valid
     check digit) are dropped and not tried again at other places; rows are judged one by one, so repeated rows and
-    null doc_ids need no care; cost is linear in the text, however long its runs; other columns play no part.
+    null doc_ids need no care; cost is linear in the text, however long its runs; an empty table gives an empty result;
+    other columns play no part, and a carried column named `spans` gives way to the result.
     """
-    docs = docs.select("doc_id", "text", *carry)
+    docs = V.chosen(docs, "doc_id", "text", carry, ("spans",))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(scan, f"{fields}, spans array<struct<kind:string,start:int,stop:int>>")
 
@@ -201,7 +207,7 @@ def redact(docs: DataFrame, *, carry: tuple[str, ...] = ()) -> DataFrame:
                 texts.append(text if text is None else "".join([*parts, text[at:]]))
             yield pa.RecordBatch.from_pydict({name: batch.column(name) for name in batch.schema.names} | {"text": pa.array(texts, pa.string())})
 
-    docs = docs.select("doc_id", "text", *carry)
+    docs = V.chosen(docs, "doc_id", "text", carry, ())
     return docs.mapInArrow(replace, docs.schema)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 BLOCK = 1 << 18
@@ -101,6 +102,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             at = stop
 
 
+def chosen(docs: DataFrame, key: str, text: str, carry: tuple[str, ...], results: tuple[str, ...]) -> DataFrame:
+    """The key, the text and the carried columns, but for those that bear the name of a result: the result stands."""
+    taken = {key.lower(), text.lower(), *(r.lower() for r in results)}
+    return docs.select(key, text, *(c for c in dict.fromkeys(carry) if c.lower() not in taken))
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes for which `inside` holds: starts, ends, and the first run of each row (and one more)."""
     if not len(data):
