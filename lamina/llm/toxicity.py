@@ -15,13 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..storage import table
+from ..storage import materialize, table
 from . import textvec as V
 from .linear import minimum
 from .sampling import sample_keys
 
 #: Labelled rows that the models are fitted on at most: those of the smallest hashes of doc_id.
 FIT_ROWS = 6_000
+#: Bytes of hashed features, 4 for each distinct one of a row, that come to the driver at most: rows of larger hashes
+#: than those that fill it are left out of the fit.
+FIT_BYTES = 64_000_000
 HASH_BITS = 22
 FOLDS = 3
 #: A feature is selected from this chi-square value on; among 4 million noise features about 2 reach it.
@@ -157,13 +160,14 @@ def distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_rows: int = FIT_ROWS) -> Chain:
-    """Fit the chain on at most `fit_rows` labelled documents. `categories` names each category's SQL condition on
-    the labels. The executors send hashed features; no text comes to the driver."""
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Chain:
+    """Fit the chain on at most `fit_rows` labelled documents, those of the smallest hashes of doc_id, and at most
+    `fit_bytes` of their features. `categories` names each category's SQL condition on the labels. The executors send
+    hashed features; no text comes to the driver."""
     named = labels.filter("doc_id IS NOT NULL").select("doc_id", *(F.expr(c).cast("int").alias(f"__{k}") for k, c in enumerate(categories.values())))
-    named = named.dropna().dropDuplicates(["doc_id"])
-    named = named.join(F.broadcast(sample_keys(named.select("doc_id"), fit_rows)), "doc_id")  # at most fit_rows ids
     names = [f"__{k}" for k in range(len(categories))]
+    named = named.dropna().groupBy("doc_id").agg(*(F.max(n).alias(n) for n in names))
+    named = named.join(F.broadcast(sample_keys(named.select("doc_id"), fit_rows)), "doc_id")  # at most fit_rows ids
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in V.slices(batches):
@@ -174,10 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_ro
             out["features"] = pa.array([hashes[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_pydict(out | {"style": pa.array(list(style), pa.list_(pa.float64()))})
 
-    sample = docs.select("doc_id", "text").join(named, "doc_id").mapInArrow(extract, f"doc_id long, {', '.join(f'{n} int' for n in names)}, features binary, style array<double>")
-    found = sorted(sample.toLocalIterator(), key=lambda r: (r.doc_id, r.features))
-    if not found:
+    sample = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id").mapInArrow(extract, f"doc_id long, {', '.join(f'{n} int' for n in names)}, features binary, style array<double>")
+    sample = materialize(sample.withColumn("size", F.octet_length("features")), "toxicity-sample")
+    sizes = sample.groupBy("doc_id").agg(F.sum("size").alias("size"), F.xxhash64("doc_id").alias("hash")).orderBy("hash", "doc_id").toPandas()  # at most fit_rows rows
+    sizes = sizes[sizes["size"].cumsum() <= fit_bytes]
+    if not len(sizes):
         return Chain(list(categories), [], [])
+    found = sorted(sample.filter(F.xxhash64("doc_id") <= int(sizes["hash"].max())).toLocalIterator(), key=lambda r: (r.doc_id, r.features))
     counts = [len(r.features) // 4 for r in found]
     rows, hashes = np.repeat(np.arange(len(found), dtype=np.int32), counts), np.concatenate([np.frombuffer(r.features, np.uint32) for r in found])
     y = {name: np.array([r[f"__{k}"] for r in found], float) for k, name in enumerate(categories)}
@@ -188,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_ro
 def score(docs: DataFrame, chain: Chain, *, carry: tuple[str, ...] = ()) -> DataFrame:
     """Add p_<category> (probability) and is_<category> for each category of the chain."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", *carry)
+    docs = V.chosen(docs, "doc_id", "text", carry, tuple(f"{sign}_{c}" for c in chain.categories for sign in ("p", "is")))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`p_{c}` double, `is_{c}` boolean" for c in chain.categories)])
     model = spark.sparkContext.broadcast(chain)
 
@@ -224,9 +231,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, categories: dict[str, str] |
 
     Returns doc_id, text, the columns in `carry`, and p_ and is_ columns of each category. Edge cases: a null or
     empty text, or one without words, has probability 0 and no category; labels with a null, or of unknown
-    documents, are not used; without labelled documents, or with one class only, nothing is assigned that the
-    labels do not show; repeated rows are scored one by one; an empty table gives an empty result; other columns
-    play no part. The whole text is scored. `fit_rows` bounds the training sample, not the scoring.
+    documents, are not used; of several labels of one document the largest of each category counts; without labelled
+    documents, or with one class only, nothing is assigned that the labels do not show; repeated rows are scored one
+    by one; an empty table gives an empty result; other columns play no part, and a carried column that bears the
+    name of a result is replaced by it. The whole text is scored, however long. `fit_rows` and FIT_BYTES bound the
+    training sample, not the scoring.
     """
     return score(docs, train(docs, labels, dict(categories), fit_rows), carry=carry)
 
