@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..storage import table
+from ..storage import materialize, table
 from . import textvec as V
 
 WINDOW = 13
@@ -150,11 +150,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, carry: tuple[str, ..
     (the word ranges they form), items (item_ids as strings, sorted) and contaminated (n_hit > 0 and
     20 * n_hit >= n_words). Edge cases: a null or empty text has no words and is clean; items without words or
     with a null item_id match nothing; repeated rows are judged row by row, repeated items count once by
-    item_id; an empty benchmark leaves all documents clean; other columns play no part.
+    item_id; an empty benchmark leaves all documents clean; an empty table gives an empty result; other columns play no
+    part, and carried columns that bear the name of a result give way to it.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", *carry)
+    docs = V.chosen(docs, "doc_id", "text", carry, ("n_words", "n_hit", "spans", "items", "contaminated"))
     pieces = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(cut_items, "item_id string, text string")
+    pieces = materialize(pieces.distinct(), "benchmark-pieces")  # a repeated item stands once
     nbytes = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(nbytes / block_bytes))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, n_hit long, spans array<struct<start:int,stop:int>>, items array<string>"])
