@@ -20,14 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..storage import table
+from ..storage import materialize, table
 from . import textvec as V
 from .linear import minimum
 from .sampling import sample_keys
 
 #: Documents whose lines serve as ordinary text in training at most: those of the smallest hashes of doc_id.
 FIT_DOCUMENTS = 1000
+#: Pieces of those lines that the model is fitted on at most, those of the smallest hashes; a line is cut into pieces
+#: of PIECE_CHARS, so that the driver holds a bounded number of characters.
 FIT_LINES = 8000
+PIECE_CHARS = 2000
+#: Texts up to this length share one look at their families.
+CACHED_CHARS = 500
 HASH_BITS = 20
 GRAMS = (1, 2, 3)
 #: Share of a template's word pairs that a paragraph must hold.
@@ -141,8 +146,16 @@ def _by_pair() -> dict[tuple[str, str], set[str]]:
     return dict(out)
 
 
-@functools.lru_cache(maxsize=4096)
 def families(text: str) -> list[tuple[str, float]]:
+    return _short_families(text) if len(text) <= CACHED_CHARS else _families(text)
+
+
+@functools.lru_cache(maxsize=4096)
+def _short_families(text: str) -> list[tuple[str, float]]:
+    return _families(text)
+
+
+def _families(text: str) -> list[tuple[str, float]]:
     """The families that the text's words confirm, with the share of a template that is there.
 
     The best template comes first and takes the word pairs of its family with it, so that a text which one
@@ -388,22 +401,26 @@ def settled(found: list[tuple[int, int, str, float, float, bool]]) -> list[dict]
     return [{"line": x[0], "family": x[2], "probability": x[3], "confirmed": x[2] != "unknown"} for x in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def scan_licenses(docs: DataFrame, *, carry: tuple[str, ...] = (), fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, carry: tuple[str, ...] = (), fit_documents: int = FIT_DOCUMENTS, fit_lines: int = FIT_LINES) -> DataFrame:
     """Add `licenses` to each document: array of (line, family, probability, confirmed), by line.
 
     Paragraphs are the lines of the whole text, joins of two neighbouring ones and runs of lines with words; a
     licence is given at its first line. Edge cases: null and empty texts and lines without words have no
     licence; lines whose licence no template confirms are of the family "unknown"; repeated rows are scanned one by
-    one; an empty table gives an empty result; other columns play no part. `fit_documents` bounds the training
-    sample of ordinary lines, not the scan.
+    one; null doc_ids are scanned like others and take no part in the sample; an empty table gives an empty result;
+    other columns play no part, and a carried column named `licenses` gives way to the result. `fit_documents` and
+    `fit_lines` bound the training sample of ordinary lines, not the scan; the sample goes by hashes, so neither the
+    order of the rows nor their partitions matter.
     """
-    docs = docs.select("doc_id", "text", *carry)
-    ids = sample_keys(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id"), fit_documents)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id")  # at most fit_documents ids
-    lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).filter("length(line) BETWEEN 1 AND 2000").filter("NOT lower(line) RLIKE 'licen[cs]e|spdx|copyright|redistribut|creative commons|public domain'")
+    docs = V.chosen(docs, "doc_id", "text", carry, ("licenses",))
+    ids = sample_keys(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").distinct(), fit_documents)
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most fit_documents ids
+    lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).filter("NOT lower(line) RLIKE 'licen[cs]e|spdx|copyright|redistribut|creative commons|public domain'")
+    lines = lines.select(F.explode(F.split("line", rf"(?s)(?<=\G.{{{PIECE_CHARS}}})")).alias("line")).filter("line <> ''")
+    lines = materialize(lines.distinct(), "license-lines")
     every = [t for own in templates().values() for t in own]
     held = lambda line: any(len(t & line) >= RESEMBLE * len(t) for t in every)
-    ordinary = sorted(r.line for r in lines.limit(FIT_LINES).toLocalIterator() if not held(pairs_of(r.line)))
+    ordinary = sorted(r.line for r in sample_keys(lines, fit_lines).toLocalIterator() if not held(pairs_of(r.line)))
     model = docs.sparkSession.sparkContext.broadcast(train(ordinary))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"licenses {KIND}"])
     return docs.mapInArrow(lambda it: scan(it, model.value), fields)
