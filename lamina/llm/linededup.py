@@ -181,11 +181,12 @@ def dedup_lines(docs: DataFrame, *, carry: tuple[str, ...] = (), bits: int | Non
     that at least two documents hold lose all their lines except in the document of the smallest doc_id.
     Edge cases: a null or empty text is one empty line and stays as it is; a line repeated inside one document
     only stays; rows that share a doc_id are one document; rows with a null doc_id stay whole and do not count
-    as holders; an empty table gives an empty result; other columns of the input play no part. Memory follows
+    as holders; an empty table gives an empty result; other columns of the input play no part, and carried columns
+    named n_lines, n_dropped or drop give way to the results. Memory follows
     the longest single text, never a key's number of holders.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", *carry)
+    docs = V.chosen(docs, "doc_id", "text", carry, ("n_lines", "n_dropped", "drop"))
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     bits = bits or filter_bits(input_bytes(docs))
     bitmap = spark.sparkContext.broadcast(suspect_filter(named, bits))
