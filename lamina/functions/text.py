@@ -19,7 +19,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{R.WS}]+|[{R.WS}]+\z", "")
+    return F.btrim(c, F.lit(R.WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -69,7 +69,7 @@ def words(c: Column) -> Column:
 
 def normal_form(c: Column) -> Column:
     """Lower case, signs as spaces, single spaces: the form in which questions and answers are compared."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), rf"[^{R.WORD}{R.WS}]", " "), rf"[{R.WS}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), rf"[^{R.WORD}]+", " "))
 
 
 def paragraphs(c: Column) -> Column:

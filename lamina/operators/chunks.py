@@ -9,27 +9,44 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
+from ..storage import materialize
+from .numbering import running_offsets
 
 MAX_TOKENS = 1500
 MIN_TOKENS = 120
 OVERFLOW = 1.2
+#: Units that one inner fold takes.
+FOLD_UNITS = 512
 TokenCounter = Callable[[str], int]
 
 
 def group_starts(lengths: Column, separator: int, max_tokens: int) -> Column:
     """Greedy grouping: the index of each group's first unit. A group takes units as long as its joined text keeps
-    the ceiling; a unit beyond the ceiling is a group of its own."""
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
+    the ceiling; a unit beyond the ceiling is a group of its own.
+
+    Units are folded in blocks: appending copies a list, so only a block's own starts are appended to one by one."""
+    none = F.array().cast("array<int>")
+    state = lambda size, i, starts: F.struct(size.alias("size"), i.alias("i"), starts.alias("starts"))
+    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("i"), F.array().cast("array<array<int>>").alias("blocks"))
 
     def step(acc: Column, n: Column) -> Column:
         joined = acc["size"] + separator + n
         new = (acc["i"] == 0) | (X.tokens_of_length(joined) > max_tokens)
-        return F.struct(F.when(new, n.cast("long")).otherwise(joined).alias("size"), (acc["i"] + 1).alias("i"), F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"))
+        return state(F.when(new, n.cast("long")).otherwise(joined), acc["i"] + 1, F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]))
+
+    def block(acc: Column, own: Column) -> Column:
+        done = F.aggregate(own, state(acc["size"], acc["i"], none), step)
+        return X.let(done, lambda d: F.struct(d["size"].alias("size"), d["i"].alias("i"), F.concat(acc["blocks"], F.array(d["starts"])).alias("blocks")))
+
+    def blocks(lengths: Column) -> Column:
+        first = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / F.lit(FOLD_UNITS)).cast("int"))
+        return F.transform(first, lambda k: F.slice(lengths, k * FOLD_UNITS + 1, F.lit(FOLD_UNITS)))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["starts"])
+    folded = lambda lengths: F.when(F.size(lengths) == 0, none).otherwise(F.aggregate(blocks(lengths), start, block, lambda acc: F.flatten(acc["blocks"])))
+    return X.let(lengths, folded)
 
 
 def sliced(units: Column, starts: Column, make: Callable[[Column], Column]) -> Column:
@@ -125,7 +142,7 @@ def chunk_documents(pages: DataFrame, *, max_tokens: int = MAX_TOKENS, min_token
     """Chunks of all documents, each document for itself, with one index over all, in the order of `document_order`.
 
     `token_counter` replaces the estimate of 3.5 characters a token by any Python function. Offsets come from one
-    row for each document; chunks themselves are not sorted globally.
+    row for each document, in ranges of the order; chunks themselves are not sorted globally.
     """
     if max_tokens < min_tokens:
         raise ValueError("max_tokens must be >= min_tokens")
@@ -135,13 +152,18 @@ def chunk_documents(pages: DataFrame, *, max_tokens: int = MAX_TOKENS, min_token
     else:
         chunks = blocks.groupBy("source").applyInPandas(_pack_with(token_counter, max_tokens, min_tokens), "source string, index int, text string, start_page int, end_page int, token_count int")
     order = pages.groupBy("source").agg(F.min(document_order).alias("__order"))
+    chunks = materialize(chunks, "chunks")  # counted, then numbered
     counts = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("__n")).join(order, "source")
-    before = Window.orderBy("__order", "source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
+    offsets = running_offsets(counts, ["__order", "source"], "__n", "__at").select("source", "__at")
     out = chunks.join(offsets, "source").withColumn("index", (F.col("index") + F.col("__at")).cast("int"))
     return out.select("index", "text", "start_page", "end_page", "token_count", "source")
 
 
+def chunk_totals(chunks: DataFrame) -> DataFrame:
+    """Documents, chunks and the estimated tokens of all chunks."""
+    return chunks.agg(F.countDistinct("source").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).cast("long").alias("tokens"))
+
+
 def chunk_document(pages: DataFrame, **options) -> DataFrame:
     """Chunks of one document's pages."""
     return chunk_documents(pages, **options)

@@ -6,7 +6,6 @@ import difflib
 import math
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,6 +14,10 @@ from ..storage import materialize
 from .components import components
 
 THRESHOLD = 0.85
+#: Questions of one topic and class of length in a block.
+BLOCK = 2000
+#: Characters that are counted one by one; the others count together.
+COUNTED = "etaoinsrhdl "
 
 
 @dataclass(frozen=True)
@@ -23,25 +26,33 @@ class DedupeResult:
     dropped: DataFrame  # with `duplicate_of`
 
 
-def _histograms(texts: pd.Series, bins: int = 64) -> np.ndarray:
-    """Counts of characters, dealt into a few bins, for each text."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts)), texts.str.len().to_numpy(np.int64))
-    return np.bincount(row * bins + codes % bins, minlength=len(texts) * bins).reshape(-1, bins)
+def common_subsequence(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a bit for each character of `a`."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = open_bits = (1 << len(a)) - 1
+    for c in b:
+        hit = open_bits & places.get(c, 0)
+        open_bits = (open_bits + hit | open_bits - hit) & full
+    return len(a) - open_bits.bit_count()
 
 
-def _ratio(threshold: float):
-    """The ratio of the first text to the second where it can reach the threshold, else 0. Shared characters, counted
-    in bins, bound the ratio from above, so the exact comparison runs for few pairs only."""
+def _linked(threshold: float):
+    """Whether the ratio of the first text to the second, or with `back` that of the second to the first, reaches the
+    threshold. The matched blocks are a common subsequence of both texts, so its greatest length bounds the ratio in
+    either order; the exact comparison, which takes some ten times as long, runs only where the bound allows it."""
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        common = np.minimum(_histograms(a), _histograms(b)).sum(axis=1)
-        total = (a.str.len() + b.str.len()).to_numpy(np.int64)
-        near = 2 * common >= threshold * total
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if ok else 0.0 for x, y, ok in zip(a, b, near, strict=True)], dtype=float)
+    @F.pandas_udf("boolean")
+    def linked(a: pd.Series, b: pd.Series, back: pd.Series) -> pd.Series:
+        def one(x: str, y: str, both: bool) -> bool:
+            if 2 * common_subsequence(x, y) < threshold * (len(x) + len(y)) - 1e-9:
+                return False
+            return difflib.SequenceMatcher(None, x, y).ratio() >= threshold or both and difflib.SequenceMatcher(None, y, x).ratio() >= threshold
 
-    return ratio
+        return pd.Series([one(*row) for row in zip(a, b, back, strict=True)], dtype=bool)
+
+    return linked
 
 
 def similar_pairs(deck: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -49,27 +60,48 @@ def similar_pairs(deck: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ratio reaches the threshold in the order in which any two of their cards stand.
 
     Equal questions enter once, so copies cost nothing. Lengths bound the ratio: candidates meet only in equal or
-    neighbouring classes of length, an equi-join on topic and class.
+    neighbouring classes of length, an equi-join on topic and class. Counts of characters bound it as well: the join
+    itself sorts out pairs that share too few, before any Python runs. A topic's class of many questions is cut into
+    blocks, and each pair of blocks is a task's share, so that no task compares a whole topic.
     """
     cards = deck.filter("topic IS NOT NULL AND question IS NOT NULL").select("id", F.lower("topic").alias("t"), X.normal_form(F.col("question")).alias("q"))
     reps = cards.groupBy("t", "q").agg(F.min("id").cast("long").alias("id"), F.max("id").cast("long").alias("last")).withColumn("n", F.length("q"))
-    reps = materialize(reps, "questions")
     # Above a ratio of t, the longer text has at most (2 - t) / t times the characters of the shorter.
     if 0 < threshold <= 1:
         step = math.log(max((2 - threshold) / threshold, 1.0) + 1e-9)
         kind = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(max(step, 1e-6)))
     else:
         kind = F.lit(0)
-    reps = reps.withColumn("k", kind.cast("long"))
-    left = reps.select([F.col(c).alias(f"{c}1") for c in ("id", "last", "t", "q", "n")] + [F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k")])
-    right = reps.select([F.col(c).alias(f"{c}2") for c in ("id", "last", "t", "q", "n")] + ["k"])
-    both = left.join(right, (F.col("t1") == F.col("t2")) & (left["k"] == right["k"]) & (F.col("id1") < F.col("id2")))
-    both = both.filter(2 * F.least("n1", "n2") >= F.lit(threshold) * (F.col("n1") + F.col("n2")))
-    ratio = _ratio(threshold)
+    counts = [(F.col("n") - F.length(F.replace("q", F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(COUNTED)]
+    reps = reps.select("id", "last", "t", "q", "n", kind.cast("long").alias("k"), *counts)
+    reps = materialize(reps.withColumn("c", F.col("n") - sum((F.col(f"c{i}") for i in range(len(COUNTED))), F.lit(0))), "questions")
+    # Classes of more than one block; all others are block 0 alone.
+    large = reps.groupBy("t", "k").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")).filter("blocks > 1")
+    large = materialize(large, "large-classes")
+
+    def blocks_of(frame: DataFrame, kind: str) -> DataFrame:
+        known = large.select("t", F.col("k").alias(kind), F.col("blocks").alias("__blocks"))
+        return frame.join(known, ["t", kind], "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+
+    def side(own: str, other: str, sign: str) -> DataFrame:
+        """Each text in its block, once for each block of the classes that it can meet."""
+        out = blocks_of(reps.withColumnRenamed("k", own), own).withColumn(f"{own}_block", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int")).drop("__blocks")
+        out = blocks_of(out.withColumn(other, F.explode(F.array(F.col(own) - 1, F.col(own), F.col(own) + 1))), other)
+        out = out.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), (F.col("__blocks") - 1).cast("int"))))
+        return out.select("t", "j", "k", "j_block", "k_block", *(F.col(c).alias(f"{c}{sign}") for c in names))
+
+    names = ["id", "last", "q", "n", "c", *(f"c{i}" for i in range(len(COUNTED)))]
+    least = F.lit(threshold) * (F.col("n1") + F.col("n2")) - F.lit(1e-9)
+    shared = sum((F.least(f"{c}1", f"{c}2") for c in names[4:]), F.lit(0))
+    left, right = side("j", "k", "1"), side("k", "j", "2")
+    bounds = (F.col("id1") < F.col("id2")) & (2 * F.least("n1", "n2") >= least) & (2 * shared >= least)
+    both = left.join(right, [left[c] == right[c] for c in ("t", "j", "k", "j_block", "k_block")] + [bounds])
     # The ratio depends on the order; the other order counts where a card of the second text stands first.
-    forward = ratio("q1", "q2") >= threshold
-    linked = both.filter(forward | ((F.col("id2") < F.col("last1")) & (ratio("q2", "q1") >= threshold)))
-    return linked.select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    back = F.col("id2") < F.col("last1")
+    # What passes the bounds is little, and dear to compare: it is dealt out evenly.
+    conf = deck.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    both = both.select("id1", "id2", "q1", "q2", back.alias("back")).repartition(max(deck.sparkSession.sparkContext.defaultParallelism, int(conf)), "id1", "id2")
+    return both.filter(_linked(threshold)("q1", "q2", "back")).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
 
 
 def duplicate_labels(deck: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

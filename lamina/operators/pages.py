@@ -13,10 +13,12 @@ LEAST_PAGES = 3
 
 def _edge_prints(lines: Column) -> Column:
     """The distinct fingerprints of a page's first and last lines that are not blank."""
-    filled = F.filter(F.transform(lines, X.strip), lambda x: x != "")
-    n = F.size(filled)
-    first, last = F.slice(filled, 1, EDGE_LINES), F.slice(filled, F.greatest(n - EDGE_LINES + 1, F.lit(1)), EDGE_LINES)
-    return F.array_distinct(F.transform(F.concat(first, last), X.fingerprint))
+
+    def prints(filled: Column) -> Column:
+        first, last = F.slice(filled, 1, EDGE_LINES), F.slice(filled, F.greatest(F.size(filled) - EDGE_LINES + 1, F.lit(1)), EDGE_LINES)
+        return F.array_distinct(F.transform(F.concat(first, last), X.fingerprint))
+
+    return X.let(F.filter(lines, lambda x: X.strip(x) != ""), prints)
 
 
 def strip_running_lines(pages: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import functools
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..functions import srs
 from ..schemas import REVIEW
+from ..storage import materialize
 
 
 def attach_review_state(deck: DataFrame) -> DataFrame:
@@ -51,15 +53,31 @@ def apply_reviews(deck: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def record_review(deck: DataFrame, card_id: int, rating: str, *, today: datetime.date | str | None = None) -> DataFrame:
-    """The deck after one review; the first of several cards with the id gets it. KeyError for an unknown id."""
+    """The deck after one review. Of several cards with the id the first gets it, in the order of `first_match`.
+    KeyError for an unknown id."""
     if rating not in srs.QUALITY:
         raise KeyError(f"unknown rating {rating!r}")
     deck = attach_review_state(deck)
-    if deck.filter(F.col("id") == card_id).isEmpty():
+    first = first_match(deck, card_id)
+    if first is None:
         raise KeyError(f"no card with id {card_id}")
     new = srs.schedule(_state().cast(srs.STATE), F.lit(srs.QUALITY[rating]), _day(today))
-    hit = F.col("id") == card_id
-    return deck.withColumn("__new", F.when(hit, new).otherwise(_state().cast(srs.STATE))).withColumns({f: F.col(f"__new.{f}") for f in REVIEW.fieldNames()}).drop("__new")
+    same = [F.col(c).eqNullSafe(F.lit(first[c])) for c in deck.columns]
+    hit = functools.reduce(lambda a, b: a & b, same)
+    if deck.filter(F.col("id") == card_id).count() > 1 and deck.filter(hit).count() > 1:
+        # Rows that are equal in every column: any one of them is the first.
+        nth = F.row_number().over(Window.partitionBy("id").orderBy(*deck.columns))
+        deck = deck.filter(~hit).withColumn("__nth", F.lit(0)).unionByName(deck.filter(hit).withColumn("__nth", nth))
+        hit &= F.col("__nth") == 1
+    out = deck.withColumn("__new", F.when(hit, new).otherwise(_state().cast(srs.STATE))).withColumns({f: F.col(f"__new.{f}") for f in REVIEW.fieldNames()})
+    return out.drop("__new", "__nth")
+
+
+def first_match(deck: DataFrame, card_id: int) -> Row | None:
+    """The first card with an id: by document, chunk_index and then all other columns, as rows have no places."""
+    order = [c for c in ("document", "chunk_index") if c in deck.columns]
+    order += [c for c in deck.columns if c not in order]
+    return deck.filter(F.col("id") == card_id).orderBy(*(F.asc_nulls_last(c) for c in order)).first()
 
 
 def review_progress(deck: DataFrame, *, as_of: datetime.date | str | None = None) -> DataFrame:
@@ -83,19 +101,29 @@ def apply_edits(deck: DataFrame, edits: DataFrame, deleted: DataFrame | None = N
 
 
 class StudySession:
-    """A queue of due cards, fixed at the start; each rating is applied to the deck and moves on."""
+    """A queue of all due cards, fixed at the start; each rating is applied to the deck and moves on.
+
+    The queue is a written table: the session pulls one partition of ids at a time, so its length does not matter.
+    """
 
-    def __init__(self, deck: DataFrame, *, as_of: datetime.date | str | None = None, limit: int = 10_000):
+    def __init__(self, deck: DataFrame, *, as_of: datetime.date | str | None = None):
         self.deck, self.as_of, self.position, self.revealed = attach_review_state(deck), as_of, 0, False
-        self.queue = [r.id for r in due_cards(self.deck, as_of=as_of).select("id").limit(limit).collect()]
+        self.due = materialize(due_cards(self.deck, as_of=as_of).select("due_date", "id"), "due-queue")
+        self._ids = (r.id for r in self.due.orderBy(F.asc_nulls_first("due_date"), "id").toLocalIterator())
+        self.current = next(self._ids, None)
         self.reviews: list[tuple[int, int, str]] = []
 
+    @property
+    def queue(self) -> DataFrame:
+        """The ids in the order of the session."""
+        return self.due.orderBy(F.asc_nulls_first("due_date"), "id").select("id")
+
     @property
     def finished(self) -> bool:
-        return self.position >= len(self.queue)
+        return self.current is None
 
-    def card(self):
-        return None if self.finished else self.deck.filter(F.col("id") == self.queue[self.position]).first()
+    def card(self) -> Row | None:
+        return None if self.finished else first_match(self.deck, self.current)
 
     def reveal(self) -> None:
         self.revealed = True
@@ -103,8 +131,10 @@ class StudySession:
     def rate(self, rating: str) -> None:
         if rating not in srs.QUALITY:
             raise KeyError(f"unknown rating {rating!r}")
-        self.reviews.append((self.queue[self.position], self.position, rating))
-        self.position, self.revealed = self.position + 1, False
+        if self.finished:
+            raise IndexError("the queue is at its end")
+        self.reviews.append((self.current, self.position, rating))
+        self.position, self.revealed, self.current = self.position + 1, False, next(self._ids, None)
 
     def result(self) -> DataFrame:
         """The deck with all ratings so far applied at once."""

@@ -118,7 +118,9 @@ def q14_srs_attach(spark, sf_dir):
 
 @query
 def q15_srs_single_review(spark, sf_dir):
-    return _state(review.apply_reviews(fx.review_deck(spark, sf_dir), fx.reviews(spark, sf_dir).filter("at = 1")))
+    """The last review of each card, on a fresh state."""
+    last = fx.reviews(spark, sf_dir).groupBy("id").agg(F.max_by(F.struct("at", "rating", "day"), "at").alias("r")).select("id", "r.*")
+    return _state(review.apply_reviews(fx.review_deck(spark, sf_dir), last))
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,16 +142,20 @@ def q18_review_progress(spark, sf_dir):
     return review.review_progress(_folded(spark, sf_dir), as_of=AS_OF)
 
 
+def _clean_stats(stats: dict) -> DataFrame:
+    """Both reports counted in one pass over their union."""
+    marked = stats["dropped_duplicates"].select(F.lit(1).alias("d")).unionByName(stats["dropped_quality"].select(F.lit(0).alias("d")))
+    return marked.agg(F.count_if(F.col("d") == 1).alias("duplicates_dropped"), F.count_if(F.col("d") == 0).alias("quality_dropped"))
+
+
 @query
 def q19_clean_stats(spark, sf_dir):
-    _, stats = Deck(fx.cards(spark, sf_dir)).clean(duplicate_threshold=1.0)
-    return stats["duplicates_dropped"].crossJoin(stats["quality_dropped"])
+    return _clean_stats(Deck(fx.cards(spark, sf_dir)).clean(duplicate_threshold=1.0)[1])
 
 
 @query
 def q19b_near_clean_stats(spark, sf_dir):
-    _, stats = Deck(fx.cards(spark, sf_dir)).clean()
-    return stats["duplicates_dropped"].crossJoin(stats["quality_dropped"])
+    return _clean_stats(Deck(fx.cards(spark, sf_dir)).clean()[1])
 
 
 @query
@@ -203,6 +209,13 @@ def q27_chunk_index_global(spark, sf_dir):
     return out.select(big("index"), "source", big("token_count"), X.page_label(F.col("start_page"), F.col("end_page")).alias("label"))
 
 
+@query
+def q27b_chunk_totals(spark, sf_dir):
+    """Documents, chunks and estimated tokens."""
+    pages = fx.markdown_pages(spark, sf_dir)
+    return C.chunk_totals(C.chunk_documents(pages, max_tokens=200, min_tokens=60, document_order="doc_id"))
+
+
 @query
 def q28_exact_dup_clusters(spark, sf_dir):
     out = dedup.find_near_duplicates(fx.cards(spark, sf_dir), threshold=1.0)

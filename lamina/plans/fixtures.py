@@ -1,6 +1,7 @@
 """Derived tables on which the named queries run, in the SQL that Spark and DuckDB share.
 
-Every derivation reads the whole table.
+Every derivation reads the whole table and keeps whole texts: a card's question is its document's first line, the
+answer all the rest; every line of a document is a paragraph; every event of a user is a review.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from ..storage import table
 #: Flash cards, one for each document.
 CARD_COLUMNS = [
     "CAST(doc_id AS INT) AS id",
-    "substr(text, 1, 80) AS question",
-    "CASE WHEN doc_id % 11 = 0 THEN substr(text, 1, 30) ELSE substr(text, 81, 200) END AS answer",
+    "split_part(text, chr(10), 1) AS question",
+    "CASE WHEN doc_id % 11 = 0 THEN split_part(text, chr(10), 1) ELSE substr(text, length(split_part(text, chr(10), 1)) + 2) END AS answer",
     "CASE doc_id % 5 WHEN 0 THEN 'definition' WHEN 1 THEN 'concept' WHEN 2 THEN 'application' WHEN 3 THEN 'compare' ELSE 'cloze' END AS card_type",
     "CASE doc_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty",
-    "CASE WHEN doc_id % 97 = 96 THEN NULL ELSE concat(CASE WHEN doc_id % 2 = 1 THEN upper(lang) ELSE lang END, '-', lower(substr(text, 1, 3))) END AS topic",
-    "CASE WHEN doc_id % 4 = 0 THEN 'a passage that is nowhere' ELSE substr(text, 10, 60) END AS source_excerpt",
+    "CASE WHEN doc_id % 97 = 96 THEN NULL ELSE CASE WHEN doc_id % 2 = 1 THEN upper(lang) ELSE lang END || '-' || lower(split_part(replace(text, chr(10), ' '), ' ', 1)) END AS topic",
+    "CASE WHEN doc_id % 4 = 0 THEN 'a passage that is nowhere' ELSE split_part(text, chr(10), -1) END AS source_excerpt",
     "source AS document",
     "CAST(doc_id % 40 AS INT) AS chunk_index",
 ]
@@ -25,7 +26,9 @@ CARD_COLUMNS = [
 PAGE_COLUMNS = ["source", "CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page", "concat('HDR ', CAST(doc_id AS STRING), chr(10), text, chr(10), 'Page ', CAST(doc_id AS STRING)) AS text"]
 #: Text with what extraction leaves behind: carriage returns, form feeds, hard blanks, hyphenated line ends.
 ROUGH_TEXT = "concat(replace(replace(text, '. ', concat('.', chr(160), '  ')), ', ', concat(',', chr(13), chr(10), chr(9))), chr(12), ' ab-', chr(10), 'cd  ', chr(10), chr(10), chr(10), chr(10), 'end ')"
-REVIEW_COLUMNS = ["user_id", "ts", "event_id", "CASE event_type WHEN 'error' THEN 'again' WHEN 'signup' THEN 'hard' WHEN 'purchase' THEN 'easy' ELSE 'good' END AS rating"]
+#: A lapse at every sixth review at least keeps intervals within the calendar.
+REVIEW_ORDER = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+RATING = "CASE WHEN event_type = 'error' OR nr % 6 = 0 THEN 'again' WHEN event_type = 'signup' THEN 'hard' WHEN event_type = 'purchase' THEN 'easy' ELSE 'good' END"
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,16 +45,17 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a page of its source: two of three lines become headings, blank lines between all."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 3 != 1, F.concat(F.lit("# "), F.substring(x, 1, 20))).otherwise(x))
+    """Each document as a page of its source: every line a paragraph, with one or two headings before some."""
+    head = lambda sign, i: F.concat(F.lit(f"{sign} Part "), i.cast("string"), F.lit("\n\n"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.when(i % 6 == 0, F.concat(head("#", i), head("##", i))).when(i % 3 == 0, head("##", i)).otherwise(""), x))
     docs = table(spark, sf_dir, "documents").withColumn("text", F.array_join(lines, "\n\n"))
     return docs.selectExpr("concat('d', CAST(doc_id AS STRING)) AS source", "1 AS page", "text", "doc_id")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most eight reviews of each user, a card for each: intervals stay within the calendar."""
-    events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").selectExpr("CAST(user_id AS INT) AS id", *REVIEW_COLUMNS[1:], "to_date(ts) AS day", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS at")
-    return events.filter("at <= 8").select("id", "at", "rating", "day")
+    """All events of all users as reviews, a card for each user."""
+    events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").selectExpr("CAST(user_id AS INT) AS id", "event_type", "to_date(ts) AS day", f"{REVIEW_ORDER} AS nr")
+    return events.selectExpr("id", "nr AS at", f"{RATING} AS rating", "day")
 
 
 def review_deck(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ AS_OF = "DATE '2024-06-30'"
 
 CARDS = f"cards AS (SELECT {', '.join(fx.CARD_COLUMNS)} FROM documents)"
 PAGES = f"pages AS (SELECT {', '.join(fx.PAGE_COLUMNS)} FROM documents)"
-REVIEWS = f"reviews AS (SELECT * FROM (SELECT CAST(user_id AS INT) AS id, {fx.REVIEW_COLUMNS[3]}, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nr FROM events WHERE user_id IS NOT NULL) WHERE nr <= 8)"
+REVIEWS = f"every_review AS (SELECT id, {fx.RATING} AS rating, day, nr FROM (SELECT CAST(user_id AS INT) AS id, event_type, CAST(ts AS DATE) AS day, {fx.REVIEW_ORDER} AS nr FROM events WHERE user_id IS NOT NULL))"
+LAST_REVIEWS = "reviews AS (SELECT id, rating, day, 1 AS nr FROM every_review QUALIFY row_number() OVER (PARTITION BY id ORDER BY nr DESC) = 1)"
+ALL_REVIEWS = "reviews AS (SELECT * FROM every_review)"
 
 
 def strip(x: str) -> str:
@@ -94,7 +96,7 @@ def hard_split(name: str, source: str, key: str, most: int) -> str:
     )
 
 
-MARKDOWN = "md AS (SELECT doc_id, 'd' || doc_id AS source, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 <> 1 THEN '# ' || substr(x, 1, 20) ELSE x END), chr(10) || chr(10)) AS text FROM documents)"
+MARKDOWN = "md AS (SELECT doc_id, 'd' || doc_id AS source, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 6 = 0 THEN '# Part ' || (i - 1) || chr(10) || chr(10) ELSE '' END || CASE WHEN (i - 1) % 3 = 0 THEN '## Part ' || (i - 1) || chr(10) || chr(10) ELSE '' END || x), chr(10) || chr(10)) AS text FROM documents)"
 
 
 def paragraphs(x: str) -> str:
@@ -152,14 +154,14 @@ KEEPERS = f"keyed AS (SELECT *, CASE WHEN topic IS NOT NULL THEN min(id) OVER (P
 COVERAGE = "SELECT topic, count(*) AS card_count, count(*) FILTER (WHERE difficulty = 'easy') AS easy, count(*) FILTER (WHERE difficulty = 'medium') AS medium, count(*) FILTER (WHERE difficulty = 'hard') AS hard, array_to_string(list_sort(list(DISTINCT card_type)), '|') AS card_types FROM {} WHERE topic IS NOT NULL GROUP BY topic"
 
 
-def folded(most: int) -> str:
-    """CTEs that end in state(id, repetitions, ease_factor, interval_days, due, last): reviews up to number `most`."""
+def folded(reviews: str = ALL_REVIEWS) -> str:
+    """CTEs that end in state(id, repetitions, ease_factor, interval_days, due, last)."""
     q = "CASE r.rating WHEN 'again' THEN 0 WHEN 'hard' THEN 3 WHEN 'good' THEN 4 ELSE 5 END"
     ease = f"greatest(1.3::DOUBLE, s.ef + (0.1::DOUBLE - (5 - {q}) * (0.08::DOUBLE + (5 - {q}) * 0.02::DOUBLE)))"
     days = f"CASE WHEN r.rating = 'again' OR s.reps = 0 THEN 1 WHEN s.reps = 1 THEN 6 ELSE greatest(1, CAST(round_even(s.iv * {ease}, 0) AS INT)) END"
     return (
-        f"WITH RECURSIVE {CARDS}, {REVIEWS}, step AS (SELECT DISTINCT id, 0::BIGINT AS nr, 0 AS reps, 2.5::DOUBLE AS ef, 0 AS iv, NULL::DATE AS due, NULL::DATE AS last FROM reviews UNION ALL "
-        f"SELECT s.id, r.nr, CASE WHEN r.rating = 'again' THEN 0 ELSE s.reps + 1 END, {ease}, {days}, r.day + ({days}), r.day FROM step s JOIN reviews r ON r.id = s.id AND r.nr = s.nr + 1 WHERE r.nr <= {most}), "
+        f"WITH RECURSIVE {CARDS}, {REVIEWS}, {reviews}, step AS (SELECT DISTINCT id, 0::BIGINT AS nr, 0 AS reps, 2.5::DOUBLE AS ef, 0 AS iv, NULL::DATE AS due, NULL::DATE AS last FROM reviews UNION ALL "
+        f"SELECT s.id, r.nr, CASE WHEN r.rating = 'again' THEN 0 ELSE s.reps + 1 END, {ease}, {days}, r.day + ({days}), r.day FROM step s JOIN reviews r ON r.id = s.id AND r.nr = s.nr + 1), "
         "state AS (SELECT c.id, coalesce(s.reps, 0)::BIGINT AS repetitions, coalesce(s.ef, 2.5::DOUBLE) AS ease_factor, coalesce(s.iv, 0)::BIGINT AS interval_days, s.due AS due_date, s.last AS last_reviewed "
         "FROM cards c LEFT JOIN (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY id ORDER BY nr DESC) = 1) s USING (id)) "
     )
@@ -190,10 +192,10 @@ ORACLES: dict[str, str] = {
     "q12_keyword_search": rf"WITH {CARDS} SELECT question, answer, topic, card_type FROM cards WHERE regexp_matches(question, 'the(re)?\b', 'i') OR regexp_matches(answer, 'the(re)?\b', 'i')",
     "q13_card_validation": f"WITH {CARDS} SELECT id, id % 13 <> 0 AND id % 17 <> 0 AND coalesce(length(question) > 0 AND length(answer) > 0 AND length(topic) > 0 AND length(source_excerpt) > 0, FALSE) AS valid FROM cards",
     "q14_srs_attach": f"WITH {CARDS} SELECT id, CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS repetitions, CASE WHEN id % 3 = 0 THEN 2.25 ELSE 2.5 END::DOUBLE AS ease_factor, 0::BIGINT AS interval_days, NULL::VARCHAR AS due_date, NULL::VARCHAR AS last_reviewed FROM cards",
-    "q15_srs_single_review": folded(1) + STATE,
-    "q16_srs_fold": folded(8) + STATE,
-    "q17_due_cards": folded(8) + f"SELECT id, due_date::VARCHAR AS due_date FROM state WHERE due_date IS NULL OR due_date <= {AS_OF}",
-    "q18_review_progress": folded(8) + f"SELECT count(*) AS total, count(*) FILTER (WHERE repetitions = 0) AS new, count(*) FILTER (WHERE due_date IS NULL OR due_date <= {AS_OF}) AS due, count(*) FILTER (WHERE repetitions >= 3 AND interval_days > 7) AS mastered FROM state",
+    "q15_srs_single_review": folded(LAST_REVIEWS) + STATE,
+    "q16_srs_fold": folded() + STATE,
+    "q17_due_cards": folded() + f"SELECT id, due_date::VARCHAR AS due_date FROM state WHERE due_date IS NULL OR due_date <= {AS_OF}",
+    "q18_review_progress": folded() + f"SELECT count(*) AS total, count(*) FILTER (WHERE repetitions = 0) AS new, count(*) FILTER (WHERE due_date IS NULL OR due_date <= {AS_OF}) AS due, count(*) FILTER (WHERE repetitions >= 3 AND interval_days > 7) AS mastered FROM state",
     "q19_clean_stats": f"WITH {CARDS}, {KEEPERS} SELECT (SELECT count(*) FROM cards) - (SELECT count(*) FROM unique_cards) AS duplicates_dropped, (SELECT count(*) FROM unique_cards WHERE ({REASON}) IS NOT NULL) AS quality_dropped",
     "q20_document_stats": f"WITH {CLEAN_PAGES} SELECT source, sha256(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS text_sha256, count(*) AS page_count, sum(length(text))::BIGINT AS char_count FROM clean WHERE text <> '' GROUP BY source",
     "q21_running_lines_removed": f"WITH {RUNNING} SELECT source, page::BIGINT AS page, text FROM kept",
@@ -203,6 +205,7 @@ ORACLES: dict[str, str] = {
     "q25_greedy_pack": packed(False) + " SELECT source, index, 1::BIGINT AS start_page, 1::BIGINT AS end_page, token_count, text FROM final",
     "q26_runt_merge": packed(True) + " SELECT source, index, 1::BIGINT AS start_page, 1::BIGINT AS end_page, token_count, text FROM final",
     "q27_chunk_index_global": GLOBAL + f" SELECT nr AS index, source, token_count, {LABEL} AS label FROM numbered",
+    "q27b_chunk_totals": GLOBAL + " SELECT count(DISTINCT source) AS documents, count(*) AS chunks, sum(token_count)::BIGINT AS tokens FROM numbered",
     "q28_exact_dup_clusters": f"WITH {CARDS}, {KEEPERS} SELECT keeper::BIGINT AS keeper, string_agg(id::VARCHAR, '|' ORDER BY id) AS ids FROM keyed WHERE topic IS NOT NULL GROUP BY keeper HAVING count(*) > 1",
     "q30_deduplicate_kept": f"WITH {CARDS}, {KEEPERS} SELECT id, question FROM unique_cards",
     "q31_deduplicate_dropped": f"WITH {CARDS}, {KEEPERS} SELECT id, keeper AS duplicate_of FROM keyed WHERE topic IS NOT NULL AND id <> keeper",

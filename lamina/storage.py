@@ -11,9 +11,11 @@ from .session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one, on a single machine only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = getattr(spark, "_lamina_shared", None)
         if where is None:
             where = spark._lamina_shared = tempfile.mkdtemp(prefix="lamina-")
@@ -24,12 +26,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage as checkpoint() does, but computes the plan once. The files survive the loss of
-    any executor.
+    any executor, and go when the driver ends if they have not been discarded before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written(spark).append(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,7 +56,14 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer tasks than half the cores, such as one file of one row group, is dealt out to all cores; scans
+    of more tasks, as of any large table, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def input_bytes(df: DataFrame) -> int:
