@@ -43,7 +43,7 @@ LONG = 8
 RESEMBLE = 0.4
 #: Calibrated probability of "some licence" from which a paragraph is reported.
 REPORT = 0.5
-_MASK = np.uint64((1 << HASH_BITS) - 1)
+_MASK = V.U64((1 << HASH_BITS) - 1)
 
 #: Public names of licence families.
 NAMES = {
@@ -96,10 +96,10 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for n in GRAMS:
         if len(words) >= n:
             same = line[: len(line) - n + 1] == line[n - 1 :]
-            hashes.append((V.ngram_hashes(words, n)[same] & _MASK).astype(np.int64))
+            hashes.append(V.ngram_hashes(words, n)[same])
             lines.append(line[: len(line) - n + 1][same])
     if not hashes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), first
+        return np.zeros(0, V.U64), np.zeros(0, np.int64), first
     return np.concatenate(hashes), np.concatenate(lines), first
 
 
@@ -198,15 +198,29 @@ def examples(ordinary: list[str]) -> tuple[list[str], np.ndarray]:
 
 @dataclass
 class Classifier:
-    place: np.ndarray  # hashed n-gram -> row of weights, or -1
+    features: np.ndarray  # hashes of n-grams, sorted; a row of weights for each
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
 
-    def odds(self, hashes: np.ndarray, lines: np.ndarray, n: int) -> np.ndarray:
-        at = self.place[hashes]
-        held = at >= 0
-        at, lines = at[held], lines[held]
+    @functools.cached_property
+    def sieve(self) -> np.ndarray:
+        out = np.zeros(1 << HASH_BITS, bool)
+        out[self.features & _MASK] = True
+        return out
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of weights of each n-gram, -1 for those without. A few bits sort out most, whole hashes decide:
+        an n-gram of ordinary text must not pass for one of a licence."""
+        out = np.full(len(hashes), -1, np.int64)
+        near = np.flatnonzero(self.sieve[hashes & _MASK])
+        if len(near):
+            k = np.minimum(np.searchsorted(self.features, hashes[near]), len(self.features) - 1)
+            same = self.features[k] == hashes[near]
+            out[near[same]] = k[same]
+        return out
+
+    def odds(self, at: np.ndarray, lines: np.ndarray, n: int) -> np.ndarray:
         counts = np.bincount(lines, minlength=n)
         scale = 1 / np.sqrt(np.maximum(counts, 1))
         return np.stack([np.bincount(lines, self.weights[at, c], n) * scale for c in range(len(self.bias))], axis=1) + self.bias
@@ -220,14 +234,11 @@ class Classifier:
 def train(ordinary: list[str], ridge: float = 0.02) -> Classifier:
     texts, y = examples(ordinary)
     hashes, lines, _ = grams(pa.array([t.replace("\n", " ") for t in texts], pa.string()))
-    keys = np.unique(lines << HASH_BITS | hashes)
-    lines, hashes = keys >> HASH_BITS, keys & ((1 << HASH_BITS) - 1)
     # Only n-grams that licence phrases hold carry information on the families.
     seen = np.unique(hashes[y[lines] > 0])
-    place = np.full(1 << HASH_BITS, -1, np.int32)
-    place[seen] = np.arange(len(seen))
-    held = place[hashes] >= 0
-    lines, at = lines[held], place[hashes[held]]
+    at = Classifier(seen, np.zeros(0), np.zeros(0), 1.0).rows(hashes)
+    keys = np.unique(lines[at >= 0] << HASH_BITS | at[at >= 0])
+    lines, at = keys >> HASH_BITS, keys & ((1 << HASH_BITS) - 1)
     n, m, c = len(texts), len(seen), len(CLASSES)
     scale = 1 / np.sqrt(np.maximum(np.bincount(lines, minlength=n), 1))
     target = np.eye(c)[y]
@@ -250,12 +261,11 @@ def train(ordinary: list[str], ridge: float = 0.02) -> Classifier:
 
     held_out = np.arange(n) % 4 == 0
     w, b = fitted(~held_out)
-    trial = Classifier(place, w, b, 1.0)
-    odds = trial.odds(hashes[held], lines, n)[held_out]
-    loss_of = lambda t: -np.log(np.maximum(1e-12, Classifier(place, w, b, t).probabilities(odds)[np.arange(held_out.sum()), y[held_out]])).mean()
+    odds = Classifier(seen, w, b, 1.0).odds(at, lines, n)[held_out]
+    loss_of = lambda t: -np.log(np.maximum(1e-12, Classifier(seen, w, b, t).probabilities(odds)[np.arange(held_out.sum()), y[held_out]])).mean()
     temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8), key=loss_of)
     w, b = fitted(np.ones(n, bool))
-    return Classifier(place, w, b, temperature)
+    return Classifier(seen, w, b, temperature)
 
 
 KIND = "array<struct<line:int,family:string,probability:double,confirmed:boolean>>"
@@ -287,14 +297,14 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
             continue
         a, b = line[: len(line) - k + 1], line[k - 1 :]
         same = head[a] == head[b]
-        h, a, b = (V.ngram_hashes(words, k)[same] & _MASK).astype(np.int64), a[same], b[same]
+        h, a, b = V.ngram_hashes(words, k)[same], a[same], b[same]
         one, near = a == b, b - a <= 1
         for who, unit in ((one, a), (one & follows[a], n + a - 1), (near & np.append(follows[1:], False)[a], n + a), (slice(None), 2 * n + head[a])):
             hashes.append(h[who])
             owner.append(unit[who])
     at = np.arange(n)
     empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *hashes]), np.concatenate([empty, *owner]), np.concatenate([at, at, at]), np.concatenate([at, at + 1, tail]), np.append(edges, len(data)), first
+    return np.concatenate([np.zeros(0, V.U64), *hashes]), np.concatenate([empty, *owner]), np.concatenate([at, at, at]), np.concatenate([at, at + 1, tail]), np.append(edges, len(data)), first
 
 
 def stretches(lines: list[str], known: dict[str, list[frozenset]]) -> list[tuple[int, int, str, float]]:
@@ -333,14 +343,15 @@ def stretches(lines: list[str], known: dict[str, list[frozenset]]) -> list[tuple
 def scan(batches: Iterator[pa.RecordBatch], model: Classifier) -> Iterator[pa.RecordBatch]:
     known = templates()
     every = [t for k in known for t in [*NAMES[k], *TEXTS.get(k, [])] if len(pairs_of(t)) >= LONG]
-    marks = [np.unique((V.ngram_hashes(word_hashes(t), 2) & _MASK).astype(np.int64)) for t in every]
+    marks = [np.unique(model.rows(V.ngram_hashes(word_hashes(t), 2))) for t in every]  # training holds all of them
     kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
     for batch in V.slices(batches):
         data, offsets = V.column_bytes(batch.column("text"))
         hashes, owner, begin, end, edges, first = units(data, offsets)
         # n-grams count once in a unit; those without weights play no part.
-        own = model.place[hashes] >= 0
-        keys = np.unique(owner[own] << HASH_BITS | hashes[own])
+        rows = model.rows(hashes)
+        own = rows >= 0
+        keys = np.unique(owner[own] << HASH_BITS | rows[own])
         where, place = np.unique(keys >> HASH_BITS, return_inverse=True)
         p = model.probabilities(model.odds(keys & ((1 << HASH_BITS) - 1), place, len(where)))
         found: list[list[tuple]] = [[] for _ in range(len(batch))]
@@ -368,7 +379,8 @@ def scan(batches: Iterator[pa.RecordBatch], model: Classifier) -> Iterator[pa.Re
                 confirmed = stretches(lines, known)
                 for x, y, family, share in confirmed:
                     own_text = grams(pa.array([" ".join(lines[x : y + 1])]))
-                    inside = np.unique(own_text[0][model.place[own_text[0]] >= 0])
+                    inside = np.unique(model.rows(own_text[0]))
+                    inside = inside[inside >= 0]
                     chance = model.probabilities(model.odds(inside, np.zeros(len(inside), np.int64), 1))[0, CLASSES.index(family)]
                     found[row].append((at + x, at + y, family, float(chance), share, True))
             if not confirmed and some >= REPORT:
