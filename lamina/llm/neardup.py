@@ -189,7 +189,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
 
     pairs = member.filter((F.col("id") != F.col("lead")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")))
     pairs = materialize(pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "pairs")
-    found = materialize(components(verify(pairs, sets, percent)), "components")
+    # Texts of one doc_id are one document: where it has several different ones, their nodes are linked.
+    several = named.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).filter("low <> high").select("doc_id")
+    own = named.join(several, "doc_id").join(nodes.select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id")
+    own = own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    found = materialize(components(verify(pairs, sets, percent).unionByName(own)), "components")
 
     member = member.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     member = materialize(member.select("bucket", "members", "weight", "id", "n", "component"), "labelled")
