@@ -88,6 +88,8 @@ class Model:
 def fit(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> Model:
     """Logistic regression on distinct (row, hash) pairs and dense columns."""
     n, pos = len(y), y.sum()
+    if not n:
+        return Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(dense.shape[1]), np.zeros(dense.shape[1]), np.ones(dense.shape[1]), 0.0)
     mean, scale = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-9)
     rate = (pos + 0.5) / (n + 1)
     empty = Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(dense.shape[1]), mean, scale, float(np.log(rate / (1 - rate))))

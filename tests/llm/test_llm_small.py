@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -336,9 +337,124 @@ def test_pii_added_kinds_and_redaction(spark):
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "to <email> now", 2: None}
 
 
-def test_pii_is_linear():
-    for text in ("a" * 200_000 + "@", "1" * 200_000, "+1" * 100_000, "1.1" * 70_000, "a@" * 100_000):
-        pii.find(text)
+def grows_linearly(f, make, n):
+    """Four times the input takes well under the sixteen times that a quadratic cost would."""
+
+    def best(k):
+        text, times = make(k), []
+        for _ in range(3):
+            began = time.perf_counter()
+            f(text)
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    return best(4 * n) < 9 * best(n) + 0.02
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "+1", "1.1", "a@", "1 ", "token=", 'token="', "-token= ", "a://b:c@d", "a://b", "account 1", "iban ", "a.b@c"])
+def test_pii_is_linear(unit):
+    assert grows_linearly(pii.find, lambda n: unit * n, 10_000)
+
+
+@pytest.mark.parametrize("units", [("<ul>", ""), ("<ul><li>", ""), ("<div class=a>", "<p>x"), ("<span>", "</b>"), ("<div>", "<p>a"), ("<b>", "<header>")])
+def test_extraction_is_linear(units):
+    assert grows_linearly(html.main_text, lambda n: units[0] * n + "text " + units[1] * n, 2000)
+
+
+def test_carried_columns_give_way_to_results(spark):
+    names = ["p_toxic", "is_toxic", "n_words", "n_hit", "spans", "items", "contaminated", "licenses", "n_lines", "n_dropped", "drop", "lang"]
+    docs = spark.createDataFrame([(1, "a line of some length\nb", *["x"] * len(names))], ", ".join(["doc_id long, text string", *(f"{n} string" for n in names)]))
+    bench = spark.createDataFrame([(1, "some length")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    carry = tuple(names)
+    for frame, name, want in (
+        (toxicity.toxicity(docs, labels, carry=carry), "is_toxic", False),
+        (D.decontaminate(docs, bench, carry=carry), "n_hit", 2),
+        (licenses.scan_licenses(docs, carry=carry), "licenses", []),
+        (linededup.dedup_lines(docs, carry=carry), "n_lines", 2),
+        (pii.find_pii(docs, carry=carry), "spans", []),
+    ):
+        row = frame.first()
+        assert row[name] == want and row.lang == "x" and len(set(frame.columns)) == len(frame.columns)
+    pages = spark.createDataFrame([(1, "u", "<p>text</p>", "x")], "page_id long, url string, html string, text string")
+    assert html.extract(pages, carry=("url", "text")).first().text == "text"
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Rows that share an id are one document, linked by any of its texts."""
+    a, b, c = (" ".join(f"{s}{i}" for i in range(40)) for s in "abc")
+    rows = [(5, a), (5, b), (2, a), (9, b + " x"), (7, c), (7, c)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6 and {(r.doc_id, r.component_id) for r in got} == {(5, 2), (2, 2), (9, 2), (7, 7)}
+
+
+def test_repeated_items_stand_once(spark, docs):
+    item = (1, " ".join(f"w{i}" for i in range(20)))
+    once, many = (spark.createDataFrame([item] * n, "item_id long, text string") for n in (1, 60))
+    one = spark.createDataFrame([(1, "start " + item[1] + " end")], "doc_id long, text string")
+    rows = [D.decontaminate(one, bench, block_bytes=10**6).first() for bench in (once, many)]
+    assert rows[0] == rows[1] and rows[0].n_hit == 20
+
+
+def test_toxicity_settles_repeated_labels(spark, labelled):
+    docs, labels = labelled.select("doc_id", "text"), labelled.select("doc_id", "quality", "toxic")
+    twice = labels.unionByName(labels.filter("toxic = 1").withColumn("toxic", F.lit(0)))
+    one, two = (by_id(toxicity.toxicity(docs, x)) for x in (labels, twice))
+    assert all(one[i].p_toxic == two[i].p_toxic for i in one)
+    only = labels.filter("toxic = 0 AND quality = 1")
+    assert toxicity.toxicity(docs, only).filter("is_toxic OR is_low_quality").count() == 0
+    few = toxicity.train(docs, labels, dict(toxicity.CATEGORIES), fit_bytes=20_000)
+    assert len(few.models) == 2
+
+
+def test_chain_links_are_optimal_and_out_of_fold():
+    rng = np.random.default_rng(2)
+    n = 300
+    held = rng.random((n, 30)) < 0.3
+    y = {"first": (held[:, 0] | (rng.random(n) < 0.05)).astype(float), "second": (held[:, 1] & held[:, 0]).astype(float)}
+    rows, hashes = np.nonzero(held)
+    rows, hashes, dense, folds = rows.astype(np.int32), hashes.astype(np.uint32), rng.normal(size=(n, 2)), np.arange(n) % toxicity.FOLDS
+    chain = toxicity.fit_chain(rows, hashes, dense, y, folds)
+    # The second link's earlier log-odds come from models that have not seen the row.
+    out = np.zeros(n)
+    for f in range(toxicity.FOLDS):
+        own = folds[rows] != f
+        index = np.cumsum(folds != f) - 1
+        model = toxicity.fit(index[rows[own]].astype(np.int32), hashes[own], dense[folds != f], y["first"][folds != f])
+        out[folds == f] = model.log_odds(np.bincount(rows, model.table()[hashes], n), dense)[folds == f]
+    z = np.concatenate([dense, np.clip(out, -12, 12)[:, None]], axis=1)
+    model = chain.models[1]
+    odds = model.log_odds(np.bincount(rows, model.table()[hashes], n), z)
+    error = 1 / (1 + np.exp(-odds)) - y["second"]
+    scaled = (z - model.mean) / model.scale
+    slope = np.concatenate([error @ scaled + toxicity.RIDGE * model.dense, [error.sum()], [error @ held[:, h] + toxicity.RIDGE * w for h, w in zip(model.features, model.weights)]])
+    assert len(model.features) and np.abs(slope).max() < 0.5 and np.allclose(model.mean, z.mean(axis=0))
+
+
+def test_license_sample_ignores_the_order_of_rows(spark):
+    words = "the house stood by a river and nobody had lived in it for years while boats went past".split()
+    rng = random.Random(3)
+    rows = [(i, "\n".join(" ".join(rng.choices(words, k=9)) for _ in range(6)) + ("\nLicensed under the Foo Public License." if i % 9 == 0 else "")) for i in range(80)]
+    rows.append((80, "x y " * 5000))
+    one, two = (by_id(licenses.scan_licenses(spark.createDataFrame(x, "doc_id long, text string").repartition(n), fit_lines=100)) for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert {i: r.licenses for i, r in one.items()} == {i: r.licenses for i, r in two.items()} and one[0].licenses
+
+
+@pytest.mark.parametrize(
+    "text, family",
+    [
+        ("Everything in this folder may be reused under the terms of the Apache License, Version 2.0, see there.", "Apache"),
+        ("Unless stated otherwise all photographs are available under a Creative Commons Attribution-ShareAlike 4.0 International License here.", "CC-BY-SA"),
+        ("The tools come under the GNU Lesser General Public License, version 3 or any later one.", "LGPL"),
+        ("Please note: code is Mozilla Public License 2.0, documentation is not.", "MPL"),
+        ("We chose the BSD 3-Clause License for the whole project.", "BSD"),
+        ("The commission reads the report on public works and general terms of trade.", None),
+        ("Her driving licence expired, so she took the bus to the public library.", None),
+        ("The foundation gave software to schools, free of charge.", None),
+    ],
+)
+def test_licenses_in_other_phrasings(license_model, text, family):
+    assert [f for _, f in license_lines(license_model, text)] == ([family] if family else [])
 
 
 def test_pii_on_table(docs):
@@ -414,6 +530,40 @@ def test_nearest(spark, monkeypatch, factor, least):
     assert got.query_id.nunique() == 25 and found >= least * total
 
 
+def test_neighbours_come_from_pruned_trees(spark, monkeypatch):
+    """Beyond the sample, on vectors without clusters: whole shares of the rows are skipped, recall stays."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 512)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 200)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 24))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, "vec_id % 40 = 0", k=20).toPandas()
+    s = x[::40] @ x.T
+    s[np.arange(100), np.arange(0, 4000, 40)] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    hits = sum(len(set(want[q // 40]) & set(own.vec_id)) for q, own in got.groupby("query_id"))
+    assert len(got) == 2000 and hits >= 0.9 * 2000
+    tree = ann.Tree(x, 1.0, np.arange(4000))
+    visited = [tree.search(x[::40], 21, np.full(100, -np.inf), f).visited.mean() / 4000 for f in (1.0, ann.FACTOR, 4 * ann.FACTOR)]
+    assert visited[2] < visited[1] < visited[0] <= 1 and visited[1] < 0.9
+
+
+def test_factor_one_is_exact_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 128)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-2, 3, (900, 4)).astype(float)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(frame, "vec_id % 30 = 0", k=20, factor=1.0).collect()}
+    ids = np.flatnonzero((x != 0).any(axis=1))
+    want = {}
+    for q in (i for i in ids if i % 30 == 0):
+        s = x[ids] @ x[q]
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:20]
+        want |= {(q, k): (ids[j], s[j]) for k, j in enumerate(order, 1)}
+    assert got == want
+
+
 def test_nearest_with_few_candidates(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = ann.nearest(frame, "vec_id % 20 = 0").collect()
