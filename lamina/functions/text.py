@@ -109,6 +109,16 @@ def card_tags(card_type: Column, difficulty: Column, topic: Column) -> Column:
     return F.concat(card_type, F.lit(" "), difficulty, F.lit(" "), F.replace(strip(topic), F.lit(" "), F.lit("_")))
 
 
+def thousands(c: Column) -> Column:
+    """A count as reports show it, with commas."""
+    return F.format_number(c, 0)
+
+
+def percent(c: Column) -> Column:
+    """A share in percent as reports show it, without decimals."""
+    return F.concat(F.format_number(c, 0), F.lit("%"))
+
+
 def suffix(path: Column) -> Column:
     """The lower-cased extension of a file name, with its point; a leading point starts none."""
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import sinks
 from ..functions import text as X
 from ..operators import chunks as C, coverage, dedup, generate, pages as P, quality, review
-from ..operators.deck import Deck, deck_from_generation
-from ..sources.decks import load_csv, load_parquet
+from ..operators.deck import Deck, deck_from_generation, invalid_cards
+from ..sources import files
+from ..sources.decks import load_csv, load_parquet, resume
 from ..storage import materialize, shared_dir, table
+from ..streaming.reviews import activity_windows, review_stream
 from . import fixtures as fx
 from .oracles import ORACLES
 
@@ -328,9 +330,7 @@ def q41_prompts(spark, sf_dir):
 
 @query
 def q42_upload_totals(spark, sf_dir):
-    from ..sources.files import upload_totals
-
-    return upload_totals(P.finalize(fx.raw_pages(spark, sf_dir)).filter("text <> ''"))
+    return files.upload_totals(P.finalize(fx.raw_pages(spark, sf_dir)).filter("text <> ''"))
 
 
 @query
@@ -341,6 +341,77 @@ def q43_generate_deck(spark, sf_dir):
     return out.select(big("chunk_index"), F.size("cards").cast("long").alias("cards"), big("dropped_ungrounded"), big("input_tokens"), "stop_reason", "error")
 
 
+def _counted(text: str) -> int:
+    """The estimate of tokens, as a counter that only Python can call."""
+    return max(1, int(len(text) / X.CHARS_PER_TOKEN))
+
+
+@query
+def q45_ingest_files(spark, sf_dir):
+    """All documents as files: text of known and unknown bytes to normalised pages."""
+    name = F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".TXT"))
+    data = table(spark, sf_dir, "documents").select(name.alias("source"), F.encode(F.expr(fx.ROUGH_TEXT), "UTF-8").alias("content"))
+    pages, _ = files.ingest(data)
+    return pages.select("source", big("page"), "text")
+
+
+@query
+def q45b_ingest_errors(spark, sf_dir):
+    """Files that cannot be read, with the reason."""
+    kind = F.when(F.col("doc_id") % 3 == 0, ".pptx").otherwise(".md")
+    body = F.when(F.col("doc_id") % 5 == 0, F.lit(" \n ")).otherwise(F.col("text"))
+    data = table(spark, sf_dir, "documents").select(F.concat(F.lit("n"), F.col("doc_id").cast("string"), kind).alias("source"), F.encode(body, "UTF-8").alias("content"))
+    return files.ingest(data)[1]
+
+
+@query
+def q46_resume_snapshot(spark, sf_dir):
+    """A saved deck read again, its review state filled up."""
+    path = f"{shared_dir(spark)}/lamina/snapshot-{uuid.uuid4().hex}"
+    sinks.save_snapshot(fx.cards(spark, sf_dir).filter(quality.is_valid_card()), path)
+    return _state(resume(spark, path))
+
+
+@query
+def q47_record_review(spark, sf_dir):
+    """One review of one card; the rest of the deck stays."""
+    return _state(review.record_review(fx.cards(spark, sf_dir), 7, "easy", today="2024-05-01"))
+
+
+@query
+def q48_export_gate(spark, sf_dir):
+    """The cards that block an export."""
+    return invalid_cards(fx.broken_cards(spark, sf_dir)).select("id")
+
+
+@query
+def q49_injected_counter(spark, sf_dir):
+    """Chunks with a token counter that only Python can call."""
+    out = C.chunk_documents(fx.markdown_pages(spark, sf_dir), max_tokens=200, min_tokens=60, token_counter=_counted, document_order="doc_id")
+    return out.select(big("index"), "source", big("token_count"), X.page_label(F.col("start_page"), F.col("end_page")).alias("label"))
+
+
+@query
+def q50_review_stream(spark, sf_dir):
+    """All reviews as a stream: the state after each of them."""
+    path = f"{shared_dir(spark)}/lamina/stream-{uuid.uuid4().hex}"
+    reviews = materialize(fx.reviews(spark, sf_dir).select(F.col("id").cast("long").alias("id"), "ts", "rating"), "reviews")
+    stream = review_stream(spark.readStream.schema(reviews.schema).parquet(reviews.inputFiles()[0].rsplit("/", 1)[0]))
+    run = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.schema(stream.schema).parquet(f"{path}/out")
+    dates = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("due_date", "last_reviewed")]
+    return out.select("id", big("repetitions"), "ease_factor", big("interval_days"), *dates)
+
+
+@query
+def q51_activity_windows(spark, sf_dir):
+    """Reviews for each hour and rating."""
+    out = activity_windows(fx.reviews(spark, sf_dir).select("ts", "rating"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select(stamp("start"), stamp("end"), "rating", "reviews")
+
+
 class RuleProvider:
     """A deterministic provider: a card of each chunk's beginning, one that is not grounded, refusals by rule."""
 

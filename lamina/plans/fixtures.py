@@ -17,7 +17,7 @@ CARD_COLUMNS = [
     "CASE WHEN doc_id % 11 = 0 THEN split_part(text, chr(10), 1) ELSE substr(text, length(split_part(text, chr(10), 1)) + 2) END AS answer",
     "CASE doc_id % 5 WHEN 0 THEN 'definition' WHEN 1 THEN 'concept' WHEN 2 THEN 'application' WHEN 3 THEN 'compare' ELSE 'cloze' END AS card_type",
     "CASE doc_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty",
-    "CASE WHEN doc_id % 97 = 96 THEN NULL ELSE CASE WHEN doc_id % 2 = 1 THEN upper(lang) ELSE lang END || '-' || lower(split_part(replace(text, chr(10), ' '), ' ', 1)) END AS topic",
+    "CASE WHEN doc_id % 97 = 96 THEN NULL ELSE CASE WHEN doc_id % 2 = 1 THEN upper(lang) ELSE lang END || '-' || lower(split_part(split_part(text, chr(10), 1), ' ', 1)) END AS topic",
     "CASE WHEN doc_id % 4 = 0 THEN 'a passage that is nowhere' ELSE split_part(text, chr(10), -1) END AS source_excerpt",
     "source AS document",
     "CAST(doc_id % 40 AS INT) AS chunk_index",
@@ -54,8 +54,8 @@ def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events of all users as reviews, a card for each user."""
-    events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").selectExpr("CAST(user_id AS INT) AS id", "event_type", "to_date(ts) AS day", f"{REVIEW_ORDER} AS nr")
-    return events.selectExpr("id", "nr AS at", f"{RATING} AS rating", "day")
+    events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").selectExpr("CAST(user_id AS INT) AS id", "event_type", "to_date(ts) AS day", "ts", f"{REVIEW_ORDER} AS nr")
+    return events.selectExpr("id", "nr AS at", f"{RATING} AS rating", "day", "ts")
 
 
 def review_deck(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ AS_OF = "DATE '2024-06-30'"
 
 CARDS = f"cards AS (SELECT {', '.join(fx.CARD_COLUMNS)} FROM documents)"
 PAGES = f"pages AS (SELECT {', '.join(fx.PAGE_COLUMNS)} FROM documents)"
-REVIEWS = f"every_review AS (SELECT id, {fx.RATING} AS rating, day, nr FROM (SELECT CAST(user_id AS INT) AS id, event_type, CAST(ts AS DATE) AS day, {fx.REVIEW_ORDER} AS nr FROM events WHERE user_id IS NOT NULL))"
+REVIEWS = f"every_review AS (SELECT id, {fx.RATING} AS rating, day, ts, nr FROM (SELECT CAST(user_id AS INT) AS id, event_type, CAST(ts AS DATE) AS day, ts, {fx.REVIEW_ORDER} AS nr FROM events WHERE user_id IS NOT NULL))"
 LAST_REVIEWS = "reviews AS (SELECT id, rating, day, 1 AS nr FROM every_review QUALIFY row_number() OVER (PARTITION BY id ORDER BY nr DESC) = 1)"
 ALL_REVIEWS = "reviews AS (SELECT * FROM every_review)"
 
@@ -177,6 +177,8 @@ TYPES = ", ".join(DEFAULT_CARD_TYPES)
 PROMPT = f"'Write about 8 study cards from the passage below (p. 1). Mix these card types where the passage allows: {TYPES}. Write fewer than 8 rather than weak or repeated ones.' || chr(10) || chr(10) || '---' || chr(10) || text || chr(10) || '---'"
 GLOBAL = f"{packed(True)}, numbered AS (SELECT f.*, row_number() OVER (ORDER BY md.doc_id, f.index) - 1 AS nr FROM final f JOIN md USING (source))"
 
+VALID = "coalesce(length(question) > 0 AND length(answer) > 0 AND length(topic) > 0 AND length(source_excerpt) > 0, FALSE)"
+
 ORACLES: dict[str, str] = {
     "q01_normalize_text": f"SELECT doc_id, {normalize('text')} AS text FROM (SELECT doc_id, {fx.ROUGH_TEXT} AS text FROM documents)",
     "q02_fingerprint": f"SELECT doc_id, pos, {fingerprint('x')} AS fingerprint FROM {exploded('documents', 'doc_id', 'string_split(text, chr(10))')}",
@@ -223,5 +225,13 @@ ORACLES: dict[str, str] = {
     "q42_upload_totals": f"WITH {CLEAN_PAGES} SELECT count(DISTINCT source) AS files, count(*) AS pages, sum(length(text))::BIGINT AS chars FROM clean WHERE text <> ''",
     "q43_generate_deck": GLOBAL
     + " SELECT nr AS chunk_index, CASE WHEN nr % 7 = 3 THEN 0 ELSE 1 END::BIGINT AS cards, CASE WHEN nr % 7 = 3 THEN 0 ELSE 1 END::BIGINT AS dropped_ungrounded, length(text) AS input_tokens, CASE WHEN nr % 7 = 3 THEN 'refusal' ELSE 'end_turn' END AS stop_reason, CASE WHEN nr % 7 = 3 THEN 'chunk ' || nr || ' (p. 1): generation refused (category=rule)' END AS error FROM numbered",
+    "q45_ingest_files": f"SELECT 'n' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.TXT' END AS source, 1::BIGINT AS page, {normalize('text')} AS text FROM (SELECT doc_id, {fx.ROUGH_TEXT} AS text FROM documents)",
+    "q45b_ingest_errors": "SELECT 'n' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.pptx' ELSE '.md' END AS source, 'n' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.pptx: unsupported extension ''.pptx''. Supported: .markdown, .md, .pdf, .txt' ELSE '.md: no extractable text.' END AS error FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
+    "q46_resume_snapshot": f"WITH {CARDS} SELECT id, 0::BIGINT AS repetitions, 2.5::DOUBLE AS ease_factor, 0::BIGINT AS interval_days, NULL::VARCHAR AS due_date, NULL::VARCHAR AS last_reviewed FROM cards WHERE {VALID}",
+    "q47_record_review": f"WITH {CARDS} SELECT id, CASE WHEN id = 7 THEN 1 ELSE 0 END::BIGINT AS repetitions, CASE WHEN id = 7 THEN 2.5::DOUBLE + 0.1::DOUBLE ELSE 2.5::DOUBLE END AS ease_factor, CASE WHEN id = 7 THEN 1 ELSE 0 END::BIGINT AS interval_days, CASE WHEN id = 7 THEN '2024-05-02' END AS due_date, CASE WHEN id = 7 THEN '2024-05-01' END AS last_reviewed FROM cards",
+    "q48_export_gate": f"WITH {CARDS} SELECT id FROM cards WHERE id % 13 = 0 OR id % 17 = 0 OR NOT {VALID}",
+    "q49_injected_counter": GLOBAL + f" SELECT nr AS index, source, token_count, {LABEL} AS label FROM numbered",
+    "q50_review_stream": folded() + "SELECT id::BIGINT AS id, reps::BIGINT AS repetitions, ef AS ease_factor, iv::BIGINT AS interval_days, due::VARCHAR AS due_date, last::VARCHAR AS last_reviewed FROM step WHERE nr > 0",
+    "q51_activity_windows": f"WITH {REVIEWS} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS end, rating, count(*) AS reviews FROM every_review GROUP BY ALL",
     "q44_edits_merged": f"WITH {CARDS} SELECT id, CASE WHEN id % 10 = 0 THEN 'edited ' || question ELSE question END AS question, answer FROM cards WHERE id % 25 <> 5",
 }
