@@ -92,6 +92,51 @@ def test_cleaning_queries_at_the_default_threshold(spark, tmp_path):
     assert sorted(QUERIES["q40b_near_clean_pipeline"](spark, at).collect()) == sorted(_coverage(good.deck).collect())
 
 
+@pytest.mark.parametrize("block", [7, 2000])
+def test_large_topics_in_blocks(spark, card, monkeypatch, block):
+    """Several topics with chains of similar questions, cut into small blocks or none; the bounds lose no link."""
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    rng = random.Random(block)
+    cards = []
+    for topic in ("A", "b", "C"):
+        q = list("how does the water in a river find its way down to the sea after heavy rain")
+        for _ in range(30):
+            for _ in range(rng.randint(0, 6)):
+                q[rng.randrange(len(q))] = rng.choice("abc defg")
+            cards.append(card(question="".join(q)[: rng.randint(40, len(q))], topic=topic))
+    want = brute_groups(cards, dedup.THRESHOLD)
+    assert {r.id: r.duplicate_of for r in dedup.deduplicate(cards_to_deck(spark, cards)).dropped.collect()} == want and want
+
+
+def test_common_subsequence():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        assert dedup.common_subsequence(a, b) == plain(a, b)
+        assert difflib.SequenceMatcher(None, a, b).ratio() * (len(a) + len(b)) <= 2 * plain(a, b) + 1e-9
+
+
+def test_whole_table_equals_brute_force(spark):
+    from conftest import DATA
+
+    from lamina.plans import fixtures as fx
+    from lamina.plans.catalogue import QUERIES
+
+    cards = [r.asDict() for r in fx.cards(spark, str(DATA)).orderBy("id").collect()]
+    want = brute_groups(cards, dedup.THRESHOLD)
+    ids = [c["id"] for c in cards]
+    got = QUERIES["q31b_near_deduplicate_dropped"](spark, str(DATA)).collect()
+    assert {r.id: r.duplicate_of for r in got} == {ids[i]: ids[k] for i, k in want.items()}
+
+
 def test_groups_and_empty(spark, card):
     deck = cards_to_deck(spark, [card(), card(question="what does a RIBOSOME do"), card(topic="x")])
     assert [r.ids for r in dedup.find_near_duplicates(deck).collect()] == [[0, 1]]

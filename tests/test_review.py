@@ -2,11 +2,12 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.functions import srs
 from lamina.operators import review
 from lamina.operators.deck import cards_to_deck
-from lamina.streaming.reviews import next_state, review_stream
+from lamina.streaming.reviews import activity_windows, next_state, review_stream
 
 DAY = datetime.date(2024, 5, 1)
 
@@ -52,12 +53,39 @@ def test_due_progress_session(spark, card):
     assert [r.id for r in review.due_cards(deck, as_of=DAY).collect()] == [0, 3, 2]
     assert tuple(review.review_progress(deck, as_of=DAY).first()) == (4, 2, 3, 0)
     session = review.StudySession(deck, as_of=DAY)
-    assert session.queue == [0, 3, 2] and session.card().id == 0
+    assert [r.id for r in session.queue.collect()] == [0, 3, 2] and session.card().id == 0
     session.reveal()
     session.rate("easy")
     session.rate("again")
     assert not session.finished and session.card().id == 2
-    assert {r.id: r.repetitions for r in session.result().collect()} == {0: 1, 1: 1, 2: 1, 3: 0}
+    session.rate("good")
+    assert session.finished and session.card() is None
+    with pytest.raises(IndexError):
+        session.rate("good")
+    assert {r.id: r.repetitions for r in session.result().collect()} == {0: 1, 1: 1, 2: 2, 3: 0}
+
+
+def test_study_queue_has_no_limit(spark):
+    deck = spark.range(12_000).select(F.col("id").cast("int").alias("id"), F.lit("q").alias("question"))
+    session = review.StudySession(deck, as_of=DAY)
+    for _ in range(3):
+        session.rate("good")
+    assert session.queue.count() == 12_000 and session.current == 3
+
+
+def test_first_of_several_cards_with_an_id_is_reviewed(spark, card):
+    deck = cards_to_deck(spark, [card(), card(question="other?"), card()], [3, 2, 3]).withColumn("id", F.lit(1))
+    assert review.first_match(deck, 1).question == "other?" and review.first_match(deck, 9) is None
+    out = review.record_review(deck, 1, "good", today=DAY).collect()
+    assert sorted((r.question, r.repetitions) for r in out) == sorted([("other?", 1)] + [(card()["question"], 0)] * 2)
+    same = deck.filter("chunk_index = 3")
+    assert sorted(r.repetitions for r in review.record_review(same, 1, "good", today=DAY).collect()) == [0, 1]
+
+
+def test_activity_windows(spark):
+    events = spark.createDataFrame([(datetime.datetime(2024, 5, 1, h, m), r) for h, m, r in ((9, 1, "good"), (9, 59, "good"), (10, 0, "good"), (9, 5, "hard"))], "ts timestamp, rating string")
+    rows = [(r.start.hour, r.rating, r.reviews) for r in activity_windows(events).collect()]
+    assert sorted(rows) == [(9, "good", 2), (9, "hard", 1), (10, "good", 1)]
 
 
 def test_edits(spark, card):
