@@ -153,10 +153,9 @@ def plan_equal(sizes: list[int], counts: list[int], n: int) -> list[tuple[int, i
     return runs + [(s, a + at.get(s, 0), c, b) for s, a, c, b in best]
 
 
-def _numbered(df: DataFrame, part: list[str], order: str, buckets: int, name: str) -> DataFrame:
-    """Gapless numbers from 0 within `part`, in buckets of the hash of `order`: a window holds one bucket, and the
-    buckets' offsets come from their counts."""
-    df = df.withColumn("__b", F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"))
+def _numbered(df: DataFrame, part: list[str], order: str, name: str) -> DataFrame:
+    """Gapless numbers from 0 within `part`, bucket (`__b`) after bucket: a window holds one bucket, and the buckets'
+    offsets come from their counts."""
     counts = df.groupBy(*part, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__at", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -169,26 +168,31 @@ def shard(docs: DataFrame, *, n_shards: int | None = N_SHARDS, capacity: int | N
 
     A row's size is its text's UTF-8 bytes plus 8; rows of equal texts are one indivisible group. With `capacity`
     (bytes) as few shards as best-fit-decreasing finds are opened; otherwise `n_shards` shards of nearly equal bytes.
-    Slots are gapless from 0 in each shard. Edge cases: null texts are a group of their own, of size 8 each, with
+    Slots are gapless from 0 in each shard; those of a group of over BUCKET_ROWS rows may differ from run to run, as
+    its rows may be equal in everything and are dealt by their place. Edge cases: null texts are a group of their own, of size 8 each, with
     the CRC of no bytes; a group larger than a shard gets a shard of its own and is not divided; repeated rows and
     null doc_ids are ordinary rows; an empty table gives an empty result; other columns play no part.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"\x00")).alias("__key"))
     docs = materialize(docs, "shard-rows")
-    groups = docs.groupBy("__key").agg((F.max("size") * F.count(F.lit(1))).alias("__size"))
+    groups = docs.groupBy("__key").agg((F.max("size") * F.count(F.lit(1))).alias("__size"), F.count(F.lit(1)).alias("__rows"))
     groups = materialize(groups, "shard-groups")
     classes = groups.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("__size", ascending=False)
     sizes, counts = classes["__size"].tolist(), classes["n"].tolist()
     runs = best_fit(sizes, counts, capacity) if capacity else plan_equal(sizes, counts, n_shards)
+    n_bins = max((b for *_, b in runs), default=0) + 1
     runs = spark.createDataFrame(pd.DataFrame(np.array(runs, np.int64).reshape(-1, 4), columns=["__size", "__from", "__many", "shard"]), "__size long, __from long, __many long, shard long")
     buckets = max(1, math.ceil(max(counts, default=1) / BUCKET_ROWS))
-    numbered = _numbered(groups, ["__size"], "__key", buckets, "__nth")
-    placed = numbered.join(runs, "__size").filter("__nth >= __from AND __nth < __from + __many").select("__key", F.col("shard").cast("int").alias("shard"))
-    rows = materialize(docs.join(placed, "__key").drop("__key"), "shard-placed")
-    n_bins = int(runs.agg(F.max("shard")).first()[0] or 0) + 1
-    buckets = max(16, math.ceil(rows.count() / n_bins / BUCKET_ROWS))
-    return _numbered(rows, ["shard"], "doc_id", buckets, "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    numbered = _numbered(groups.withColumn("__b", F.pmod(F.xxhash64("__key"), F.lit(buckets))), ["__size"], "__key", "__nth")
+    placed = numbered.join(runs, "__size").filter("__nth >= __from AND __nth < __from + __many").select("__key", "__rows", F.col("shard").cast("int").alias("shard"))
+    # Rows of one doc_id are spread by their texts, rows of a hot text by their place, in buckets of their own.
+    buckets = max(16, math.ceil(docs.count() / n_bins / BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))
+    bucket = F.when(F.col("__rows") > BUCKET_ROWS, buckets + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets))).otherwise(bucket)
+    rows = docs.join(placed, "__key").select("doc_id", "size", "text_crc32", "shard", bucket.alias("__b"))
+    rows = materialize(rows, "shard-placed")  # once written, a row's bucket stays the same whenever it is read
+    return _numbered(rows, ["shard"], "doc_id", "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,6 +259,19 @@ def test_shards(docs, texts):
     assert all(r.n <= max(60_000, 9 * 9000) for r in fixed)
 
 
+def test_slots_of_hot_ids_and_texts(spark, monkeypatch):
+    """A third of all rows equal in everything, a third under one id and a third without an id: slots stay gapless."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
+    rows = [(7, "a copy of a text")] * 300 + [(8, f"text {i}") for i in range(300)] + [(None, f"other text {i % 200}") for i in range(300)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=4).collect()
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert collections.Counter(r.doc_id for r in out) == {7: 300, 8: 300, None: 300}
+    assert len(slots) == 4 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in out if r.doc_id == 7}) == 1
+
+
 # Packing
 
 
