@@ -31,7 +31,8 @@ def normalize(c: Column) -> Column:
     """Unify line breaks and blanks, join hyphenated words, trim lines, collapse blank lines and runs of blanks."""
     for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\f", "\n"), ("\u00a0", " ")):
         c = F.replace(c, F.lit(old), F.lit(new))
-    c = F.regexp_replace(c, rf"([{R.WORD}])-\n([{R.WORD}])", "$1$2")
+    # The sign comes first, as it is rare; a letter joins one line at most, so a match never begins where one ended.
+    c = F.regexp_replace(c, rf"-\n(?<!\G-\n)(?<=[{R.WORD}]-\n)([{R.WORD}])", "$1")
     c = F.regexp_replace(c, rf"[{R.BLANK}]++(?=\n|\z)", "")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return strip(F.regexp_replace(c, r"[ \t]{2,}", " "))

@@ -20,8 +20,9 @@ class QualityFilterResult:
 
 def quality_reason(min_answer_chars: int = MIN_ANSWER_CHARS) -> Column:
     """Null for a good card. A short answer comes before one that its question already holds."""
-    q, a = X.normal_form(F.col("question")), X.normal_form(F.col("answer"))
-    return F.when(F.length("answer") < min_answer_chars, "answer too short").when((a != "") & F.contains(q, a), "answer restates question")
+    q = X.normal_form(F.col("question"))
+    restates = X.let(X.normal_form(F.col("answer")), lambda a: (a != "") & F.contains(q, a))
+    return F.when(F.length("answer") < min_answer_chars, "answer too short").when(restates, "answer restates question")
 
 
 def filter_quality(deck: DataFrame, *, min_answer_chars: int = MIN_ANSWER_CHARS) -> QualityFilterResult:
