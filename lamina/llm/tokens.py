@@ -8,6 +8,8 @@ order, and each different word is tokenized once.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ def default_path() -> str:
 
 class WordTokenizer:
     def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
+        # Every core has a task of its own already: threads inside a task only add CPU time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
@@ -43,7 +47,7 @@ class WordTokenizer:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         begin = len(self.ids) + np.append(0, np.cumsum(count))[:-1]
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(count.sum()))])
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.begin, self.count = np.insert(self.hashes, at, hashes), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
 
@@ -61,7 +65,8 @@ class WordTokenizer:
                 new[:] = True
             if new.any():
                 raw = data.tobytes()
-                self._learn(known[new], [raw[starts[i] : ends[i]].decode() for i in at[new]])
+                at = at[new]
+                self._learn(known[new], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             place = np.searchsorted(self.hashes, known)
             begin, count = self.begin[place][word], self.count[place][word]
         else:
