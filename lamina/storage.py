@@ -54,6 +54,12 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
             written(spark).remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished jobs, so that Spark's cleaner removes their shuffle files from the executors'
+    disks now; otherwise they stay until the driver's heap fills."""
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
