@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.components import components
-from ..storage import materialize, table
+from ..storage import discard, materialize, release, table, written
 from . import textvec as V
 
 BANDS = 32
@@ -174,16 +174,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     with a null doc_id stay alone: component_id null, kept true; an empty table gives an empty result; other columns
     play no part. Equal sets are one node however many copies there are.
     """
-    docs = docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     rows = docs.mapInArrow(lambda it: sketch_rows(it, words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
     rows = materialize(rows, "sketches")
-    named = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = named.groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s"))
+    sketched = written(spark)[-1]
+    has_words = "doc_id IS NOT NULL AND n_shingles > 0"
+    nodes = rows.filter(has_words).groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s"))
     nodes = materialize(nodes.select("id", "k1", "k2", "n", "s.bands", "s.sketch"), "nodes")
+    # Sketches stand once on disk, with the nodes; documents keep the names of their sets.
+    rows = materialize(rows.select("doc_id", "n_shingles", "k1", "k2"), "named")
+    discard(spark, [sketched])
+    named = rows.filter(has_words)
     member = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     lead = F.min_by(F.struct("id", "n"), F.xxhash64("id", "bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), lead.alias("lead")).filter("members > 1")
     member = materialize(member.join(shared, "bucket").select("bucket", "members", "weight", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "members")
+    release(spark)
+    met = written(spark)[-1]
     wanted = member.select(F.col("id").alias("doc_id")).distinct()
     sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: set_rows(it, words), "id long, set array<long>"), "sets")
 
@@ -194,9 +201,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     own = named.join(several, "doc_id").join(nodes.select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id")
     own = own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
     found = materialize(components(verify(pairs, sets, percent).unionByName(own)), "components")
+    release(spark)
 
     member = member.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     member = materialize(member.select("bucket", "members", "weight", "id", "n", "component"), "labelled")
+    discard(spark, [met])
+    release(spark)
     split = member.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high AND low IS NOT NULL").select("bucket")
     blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("weight") / F.lit(BLOCK_SHINGLES)))
     rest = member.join(split, "bucket").filter("members > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
