@@ -124,6 +124,44 @@ def test_common_subsequence():
         assert difflib.SequenceMatcher(None, a, b).ratio() * (len(a) + len(b)) <= 2 * plain(a, b) + 1e-9
 
 
+def test_matches_of_long_texts_equal_difflib():
+    rng = random.Random(2)
+    for _ in range(200):
+        signs = "abcdefghij klmnopqrstuvwxyzé"[: rng.choice([3, 8, 28])]
+        x = "".join(rng.choice(signs) for _ in range(rng.randint(180, 900)))
+        y = list(x)
+        for _ in range(rng.randint(0, 120)):
+            i = rng.randrange(len(y))
+            y[i : i + rng.randint(0, 1)] = rng.choice(["", rng.choice(signs), rng.choice(signs) * 5])
+        y = "".join(y)
+        ratio = difflib.SequenceMatcher(None, x, y).ratio()
+        assert dedup.reaches(x, y, 0.85) == (ratio >= 0.85)
+        if len(y) >= 200:
+            assert 2.0 * dedup.matched(x, y) / (len(x) + len(y)) == ratio
+
+
+def test_long_questions_of_a_topic_are_sorted_out_before_the_ratio(spark, card, monkeypatch):
+    """Long texts of one vocabulary share characters, so that counts of characters let every pair through."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinsrhdlucmfywgpbvk") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    base = [[rng.choice(words) for _ in range(80)] for _ in range(30)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[:40] + [rng.choice(words)] + w[41:]) for w in base]
+    cards = [card(question=t) for t in texts]
+    frame = cards_to_deck(spark, cards)
+    got = {(r.a, r.b) for r in dedup.similar_pairs(frame).collect()}
+    ratio = lambda i, j: difflib.SequenceMatcher(None, *(" ".join(texts[k].split()) for k in (i, j))).ratio()
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if ratio(i, j) >= dedup.THRESHOLD} and got
+    signs = dedup.gram_bits(dedup.pd.Series(texts))
+    words = signs[[f"s{i}" for i in range(dedup.WORDS)]].to_numpy()
+    through = 0
+    for i in range(60):
+        for j in range(i + 1, 60):
+            both, common = len(texts[i]) + len(texts[j]), sum((x & y & 2**64 - 1).bit_count() for x, y in zip(words[i].tolist(), words[j].tolist(), strict=True))
+            cuts = (dedup.GRAM - 1) * min(max(signs["rare"][i], signs["rare"][j]), both * (1 - dedup.THRESHOLD))
+            through += common >= max(signs["bits"][k] - len(texts[k]) for k in (i, j)) + dedup.THRESHOLD * both / 2 - cuts
+    assert len(got) <= through < 60 * 59 / 2 / 4
+
+
 def test_whole_table_equals_brute_force(spark):
     from conftest import DATA
 
