@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.components import components
 from ..storage import discard, materialize, release, table, written
@@ -164,6 +164,16 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """The members of buckets of several: bucket, members, weight, id, n, lead, lead_n, the lead being the member that
+    all meet. Members are dealt out once, as three numbers: an aggregate joined to its own rows would deal them twice,
+    and a window without the stated exchange would deal its arguments as well."""
+    member, own = nodes.select("id", "n", F.explode("bands").alias("bucket")).repartition("bucket"), Window.partitionBy("bucket")
+    lead = F.min_by(F.struct("id", "n"), F.xxhash64("id", "bucket")).over(own)
+    member = member.withColumns({"members": F.count(F.lit(1)).over(own), "weight": F.sum("n").over(own), "lead": lead}).filter("members > 1")
+    return member.select("bucket", "members", "weight", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"))
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of at least `percent` / 100.
 
@@ -185,10 +195,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     rows = materialize(rows.select("doc_id", "n_shingles", "k1", "k2"), "named")
     discard(spark, [sketched])
     named = rows.filter(has_words)
-    member = nodes.select("id", "n", F.explode("bands").alias("bucket"))
-    lead = F.min_by(F.struct("id", "n"), F.xxhash64("id", "bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), lead.alias("lead")).filter("members > 1")
-    member = materialize(member.join(shared, "bucket").select("bucket", "members", "weight", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "members")
+    member = materialize(bucket_members(nodes), "members")
     release(spark)
     met = written(spark)[-1]
     wanted = member.select(F.col("id").alias("doc_id")).distinct()

@@ -156,6 +156,17 @@ def test_near_duplicates_on_a_chain(spark):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, 3, 85)
 
 
+def test_members_of_buckets_are_dealt_out_once(spark):
+    nodes = spark.createDataFrame([(1, 5, [10, 20]), (2, 6, [10, 30]), (3, 7, [10, 20]), (4, 8, [40, 50])], "id long, n long, bands array<long>")
+    got = neardup.bucket_members(nodes)
+    rows = got.collect()
+    assert sorted((r.bucket, r.members, r.weight, r.id, r.n) for r in rows) == [(10, 3, 18, 1, 5), (10, 3, 18, 2, 6), (10, 3, 18, 3, 7), (20, 2, 12, 1, 5), (20, 2, 12, 3, 7)]
+    leads = {r.bucket: (r.lead, r.lead_n) for r in rows}
+    assert all(leads[r.bucket] == (r.lead, r.lead_n) and r.lead_n == r.lead + 4 for r in rows)
+    plan = neardup.bucket_members(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
