@@ -33,6 +33,8 @@ MAX_FEATURES = 8192
 RIDGE = 0.1
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 ENDINGS = (4, 5, 6)
+#: (row, hash) pairs that are counted or sorted out at a time: the driver needs little besides the pairs themselves.
+CHUNK = 1 << 20
 _MASK = np.uint64((1 << HASH_BITS) - 1)
 
 
@@ -76,8 +78,8 @@ class Model:
     scale: np.ndarray
     bias: float
 
-    def table(self) -> np.ndarray:
-        out = np.zeros(1 << HASH_BITS, np.float32)
+    def table(self, width: int = 1 << HASH_BITS) -> np.ndarray:
+        out = np.zeros(width, np.float32)
         out[self.features] = self.weights
         return out
 
@@ -85,8 +87,31 @@ class Model:
         return sparse + ((dense - self.mean) / self.scale) @ self.dense + self.bias
 
 
-def fit(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> Model:
-    """Logistic regression on distinct (row, hash) pairs and dense columns."""
+def tally(rows: np.ndarray, hashes: np.ndarray, held: np.ndarray, width: int) -> np.ndarray:
+    """How many of the rows marked in `held` have each feature."""
+    out = np.zeros(width, np.int32)
+    for i in range(0, len(rows), CHUNK):
+        np.add.at(out, hashes[i : i + CHUNK][held[rows[i : i + CHUNK]]], 1)
+    return out
+
+
+def select(rows: np.ndarray, hashes: np.ndarray, y: np.ndarray, held: np.ndarray, width: int) -> np.ndarray:
+    """The features, sorted, that a model of the rows marked in `held` uses; they depend on the labels only."""
+    n, pos = int(held.sum()), y[held].sum()
+    if pos < 2 or n - pos < 2:
+        return np.zeros(0, np.int64)
+    total = tally(rows, hashes, held, width)
+    found = np.flatnonzero((total >= 4) & (total <= n - 4))
+    total = total[found].astype(np.int64)
+    a = tally(rows, hashes, held & (y > 0), width)[found].astype(np.int64)
+    b, c, d = total - a, pos - a, n - pos - (total - a)
+    chi = n * (np.abs(a * d - b * c) - n / 2).clip(0) ** 2 / (total * (n - total) * pos * (n - pos))
+    best = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
+    return np.sort(found[best[chi[best] >= CHI_SQUARE]])
+
+
+def fit(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = RIDGE, width: int = 1 << HASH_BITS) -> Model:
+    """Logistic regression on distinct (row, hash) pairs, hashes being below `width`, and dense columns."""
     n, pos = len(y), y.sum()
     if not n:
         return Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(dense.shape[1]), np.zeros(dense.shape[1]), np.ones(dense.shape[1]), 0.0)
@@ -95,14 +120,8 @@ def fit(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, y: np.ndarray,
     empty = Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(dense.shape[1]), mean, scale, float(np.log(rate / (1 - rate))))
     if pos < 2 or n - pos < 2:
         return empty
-    total = np.bincount(hashes, minlength=1 << HASH_BITS)
-    found = np.flatnonzero((total >= 4) & (total <= n - 4))
-    total, a = total[found], np.bincount(hashes[y[rows] > 0], minlength=1 << HASH_BITS)[found]
-    b, c, d = total - a, pos - a, n - pos - (total - a)
-    chi = n * (np.abs(a * d - b * c) - n / 2).clip(0) ** 2 / (total * (n - total) * pos * (n - pos))
-    best = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
-    chosen = np.sort(found[best[chi[best] >= CHI_SQUARE]])
-    place = np.full(1 << HASH_BITS, -1, np.int32)
+    chosen = select(rows, hashes, y, np.ones(n, bool), width)
+    place = np.full(width, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     held = place[hashes] >= 0
     r, j = rows[held], place[hashes[held]]
@@ -139,19 +158,41 @@ def threshold(odds: np.ndarray, y: np.ndarray) -> float:
     return float((odds[order[k]] + odds[order[min(k + 1, len(y) - 1)]]) / 2)
 
 
+def narrowed(rows: np.ndarray, hashes: np.ndarray, labels: dict[str, np.ndarray], folds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs, those whose feature some model of the chain uses: features, sorted, then the pairs' rows and places
+    among the features. No model differs without the others."""
+    used = np.zeros(1 << HASH_BITS, bool)
+    for y in labels.values():
+        for f in range(-1, FOLDS):
+            used[select(rows, hashes, y, folds != f, len(used))] = True
+    features = np.flatnonzero(used).astype(np.uint32)
+    place = np.zeros(len(used), np.int32)
+    place[features] = np.arange(len(features))
+    parts = []
+    for i in range(0, len(rows), CHUNK):
+        h = hashes[i : i + CHUNK]
+        own = used[h]
+        parts.append((rows[i : i + CHUNK][own], place[h[own]]))
+    return features, *(np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int32) for k in range(2))
+
+
 def fit_chain(rows: np.ndarray, hashes: np.ndarray, dense: np.ndarray, labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
     """Fit all links: each on out-of-fold log-odds of those before it."""
     out = Chain(list(labels), [], [])
+    features, rows, places = narrowed(rows, hashes, labels, folds)
+    width = len(features)
     for y in labels.values():
         held_out = np.zeros(len(y))
         for f in range(FOLDS):
             train = folds != f
             index = (np.cumsum(train) - 1).astype(np.int32)
             own = train[rows]
-            model = fit(index[rows[own]], hashes[own], dense[train], y[train])
-            sparse = np.bincount(rows, model.table()[hashes], len(y))
+            model = fit(index[rows[own]], places[own], dense[train], y[train], width=width)
+            sparse = np.bincount(rows, model.table(width)[places], len(y))
             held_out[~train] = model.log_odds(sparse, dense)[~train]
-        out.models.append(fit(rows, hashes, dense, y))
+        model = fit(rows, places, dense, y, width=width)
+        model.features = features[model.features]
+        out.models.append(model)
         out.thresholds.append(threshold(held_out, y))
         dense = np.concatenate([dense, np.clip(held_out, -12, 12)[:, None]], axis=1)
     return out
@@ -191,7 +232,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_ro
     rows, hashes = np.repeat(np.arange(len(found), dtype=np.int32), counts), np.concatenate([np.frombuffer(r.features, np.uint32) for r in found])
     y = {name: np.array([r[f"__{k}"] for r in found], float) for k, name in enumerate(categories)}
     folds = (V.mix(np.array([r.doc_id for r in found], np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
-    return fit_chain(rows, hashes, np.array([r.style for r in found]), y, folds)
+    dense = np.array([r.style for r in found])
+    del found
+    return fit_chain(rows, hashes, dense, y, folds)
 
 
 def score(docs: DataFrame, chain: Chain, *, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -26,11 +26,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage as checkpoint() does, but computes the plan once. The files survive the loss of
-    any executor, and go when the driver ends if they have not been discarded before.
+    any executor, and go when the driver ends if they have not been discarded before. No empty file marks success, as
+    nothing looks for it: on local disks the driver starts a process for each file's rights, which shares its memory.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     written(spark).append(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -1,10 +1,12 @@
 """The operators on small tables: defined edge cases and comparison with plain versions."""
 
 import collections
+import os
 import random
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lamina import storage
 from lamina.llm import ann, decontaminate as D, html, licenses, linededup, neardup, packing, pii, sharding, textvec as V, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, n_lines long, shard int, component_id long, spans string, cell int"
@@ -420,6 +423,30 @@ def test_repeated_items_stand_once(spark, docs):
     assert rows[0] == rows[1] and rows[0].n_hit == 20
 
 
+def test_the_fit_takes_little_of_the_driver():
+    rng = np.random.default_rng(3)
+    n = 3000
+    y = {"first": (rng.random(n) < 0.3).astype(float), "second": (rng.random(n) < 0.1).astype(float)}
+    rows = np.repeat(np.arange(n), 200)
+    hashes = rng.integers(0, 1 << toxicity.HASH_BITS, len(rows)) >> rng.integers(0, 16, len(rows))
+    hashes[::20] = 7 + 2 * y["first"][rows[::20]] + y["second"][rows[::20]]
+    rows, hashes = toxicity.distinct(rows, hashes.astype(np.uint32))
+    tracemalloc.start()
+    chain = toxicity.fit_chain(rows.astype(np.int32), hashes, rng.normal(size=(n, 2)), y, np.arange(n) % toxicity.FOLDS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(len(m.features) for m in chain.models)
+    assert peak < 45e6  # two tables of all 4 million hashes as 64-bit counts are 67 MB
+
+
+def test_written_tables_bear_no_marker(spark):
+    table = storage.materialize(spark.range(5), "plain")
+    where = storage.written(spark)[-1]
+    assert sorted(r.id for r in table.collect()) == [0, 1, 2, 3, 4]
+    assert not [p for p in os.listdir(where.removeprefix("file:")) if "SUCCESS" in p]
+    storage.discard(spark, [where])
+
+
 def test_toxicity_settles_repeated_labels(spark, labelled):
     docs, labels = labelled.select("doc_id", "text"), labelled.select("doc_id", "quality", "toxic")
     twice = labels.unionByName(labels.filter("toxic = 1").withColumn("toxic", F.lit(0)))
